@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def tasks(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that only unreachable plans still hold."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

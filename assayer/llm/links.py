@@ -4,9 +4,11 @@ Items meet in lists (one row per item and list). Which pairs link is settled by
 function on full data; here candidates are only chosen. Lists that a family of copies fills are
 worked off by stars: members are tried against one pivot a list, twice with different pivots, and
 what links becomes one component. Pairs inside a component need no test any more. What is left are
-pairs of different components in one list; each of them is tried, so no link is lost. Lists are
-taken coolest first (by the components that they hold), and an item enters as many of its lists
-as two linked items need to be certain to meet in one of them.
+pairs of different components in one list. Lists are taken coolest first (by the components that
+they hold), and an item enters as many of its lists as two linked items need to be certain to meet
+in one of them. In lists longer than ``SHORT`` an exact bound comes first: an item can have no more
+elements in common with items of other components than those that occur in other components at all.
+Pairs whose bound misses the threshold can't link; the others are all tried, so no link is lost.
 """
 
 from __future__ import annotations
@@ -17,22 +19,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.graph import components
-from assayer.llm.lineage import cut
+from assayer.llm.lineage import cut, release
 
+SHORT = 16
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def link_components(lists: DataFrame, verify: Verify, need: Callable | None = None, percent: int = 75) -> DataFrame:
+def link_components(lists: DataFrame, verify: Verify, elements: Callable[[DataFrame], DataFrame], need: Callable | None = None, percent: int = 75) -> DataFrame:
     """(id, component) for the items that link with a smaller one, directly or through others.
 
     lists: key long, id long, n long (size of the item's set; sizes of linked items differ by at
     most ``percent``). An item's keys are distinct. verify: takes (a, b) pairs with a < b and
-    returns the true ones. need(n_keys): column, the keys that two linked items at least share.
+    returns the true ones. elements: takes distinct (id, part) and returns (id, part, element), the
+    distinct elements of each item's whole set. need(n_keys): column, the keys that two linked items at least share.
     """
     heads = lists.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1")
     shared = cut(lists.join(cut(heads), "key").select("key", "id", "n", "pivot"))
     size = lists.groupBy("id").agg(F.count("*").alias("n_keys")) if need else None
 
+    release(lists.sparkSession)
+
     first = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     edges = cut(verify(first))
     parts = components(edges)
@@ -55,13 +61,28 @@ def link_components(lists: DataFrame, verify: Verify, need: Callable | None = No
         live = live.withColumn("of", F.count("*").over(Window.partitionBy("id")))
         live = live.where(F.col("n_keys") - F.col("of") + F.col("place") <= F.col("n_keys") - need(F.col("n_keys")) + 1)
     live = cut(live.select("key", "id", "n", "part"))
-    other = live.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    near = (F.col("id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (100 * F.col("n") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n"))
-    third = live.join(other, "key").where(near).select(F.col("id").alias("a"), "b").distinct()
+    size_of = live.groupBy("key").agg(F.count("*").alias("size"))
+    long = cut(size_of.where(F.col("size") > SHORT).select("key"))
+    items = cut(live.join(long, "key", "left_semi").select("id", "part").distinct())
+    own = cut(elements(items))
+    spread = own.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("element")
+    common = cut(own.join(spread, "element", "left_semi").groupBy("id").agg(F.count("*").alias("common")))
+    hot = live.join(long, "key", "left_semi").join(common, "id").where(100 * F.col("common") >= percent * F.col("n"))
+    release(lists.sparkSession)
+    third = _pairs(live.join(long, "key", "left_anti").withColumn("common", F.col("n")), percent).union(_pairs(hot, percent)).distinct()
     found = verify(third)
     return components(edges.union(found))
 
 
+def _pairs(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one list, of different parts, that sizes and common elements don't rule out."""
+    live = cut(live.select("key", "id", "n", "part", "common"))
+    other = live.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("common").alias("common_b"))
+    both = F.least("common", "common_b")
+    near = (F.col("id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (100 * both >= percent * (F.col("n") + F.col("n_b") - both))
+    return live.join(other, "key").where(near).select(F.col("id").alias("a"), "b").distinct()
+
+
 def _with(shared: DataFrame, parts: DataFrame) -> DataFrame:
     parts = parts.select(F.col("id").alias("p_id"), "component")
     return shared.join(parts, F.col("id") == F.col("p_id"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))

@@ -52,6 +52,15 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "hashes"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in flat.slices(batch):
+            found = flat.sets(*flat.bytes_of(part.column("text")))
+            off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            whole = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.signed(np.concatenate([*found, np.empty(0, np.uint64)]))))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("part"), whole], names=["id", "part", "element"])
+
+
 def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose union sketch holds enough common values."""
     for batch in batches:
@@ -117,7 +126,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         full = cut(texts.mapInArrow(_full, "id long, hashes binary"))
         return matched(likely, full, PERCENT).distinct()
 
-    parts = link_components(lists, verify, need, PERCENT)
+    def elements(items: DataFrame) -> DataFrame:
+        own = items.select(F.col("id"), "part")
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(own, "id")
+        return texts.mapInArrow(_elements, "id long, part long, element array<long>").select("id", "part", F.explode("element").alias("element"))
+
+    parts = link_components(lists, verify, elements, need, PERCENT)
     low = parts.select(F.col("id").alias("p_id"), "component")
     named = cut(classes.select("d1", "d2", "id").join(low, F.col("id") == F.col("p_id"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component")))
     out = marked.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
