@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm import flat
+from assayer.llm import flat, sieve
 from assayer.llm.lineage import cut, release
 
 WINDOW = 2
@@ -115,8 +115,8 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     leads = first.select("first.k_id", "first.k_text", "first.chunk", "h1", "h2").join(again.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
 
     def content(items: DataFrame) -> DataFrame:
-        lists = items.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("chunk", "h1", "h2")).alias("wanted"))
-        texts = keyed
+        lists = cut(items.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("chunk", "h1", "h2")).alias("wanted")))
+        texts = sieve.through(keyed, "k_text", sieve.of(lists.select("k_text").distinct()))
         return texts.join(lists, ["k_id", "k_text"]).mapInArrow(_bytes, "k_id long, k_text long, chunk long, h1 long, h2 long, own binary")
 
     lead = cut(content(leads).select("h1", "h2", F.col("own").alias("lead")))
@@ -137,7 +137,10 @@ def stripped(docs: DataFrame) -> DataFrame:
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
     gone = repeated_chunks(base.select("k_id", "k_text", "text"))
     kind = base.schema["row"].dataType.simpleString()
-    return base.join(gone, ["k_id", "k_text"], "left").select("row", "text", "gone").mapInArrow(_strip, f"row {kind}, kept string, n_chunks long, n_removed_chunks long")
+    bits = sieve.of(gone.select("k_text").distinct())
+    touched = sieve.through(base, "k_text", bits).join(gone, ["k_id", "k_text"], "left").select("row", "text", "gone")
+    others = sieve.through(base, "k_text", bits, wanted=False).select("row", "text", F.lit(None).cast("array<long>").alias("gone"))
+    return touched.union(others).mapInArrow(_strip, f"row {kind}, kept string, n_chunks long, n_removed_chunks long")
 
 
 def digests(docs: DataFrame) -> DataFrame:

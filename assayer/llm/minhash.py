@@ -9,7 +9,6 @@ Jaccard similarity and drop what can't reach the threshold; the full sets decide
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm import flat
-from assayer.llm.lineage import cut
+from assayer.llm import flat, sieve
+from assayer.llm.lineage import cut, release
 from assayer.llm.links import link_components
 
 K = 64
@@ -45,20 +44,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array([len(x) for x in found], np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), kept], names=["doc_id", "n", "d1", "d2", "sketch"])
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in flat.slices(batch):
-            found = flat.sets(*flat.bytes_of(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "hashes"])
+def _full(bits: np.ndarray):
+    """(id, hashes) of the documents that the sieve lets pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in flat.slices(batch.filter(pa.array(sieve.passes(bits, batch.column("doc_id"))))):
+                found = flat.sets(*flat.bytes_of(part.column("text")))
+                off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                whole = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.signed(np.concatenate([*found, np.empty(0, np.uint64)]))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), whole], names=["id", "hashes"])
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in flat.slices(batch):
-            found = flat.sets(*flat.bytes_of(part.column("text")))
-            off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            whole = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.signed(np.concatenate([*found, np.empty(0, np.uint64)]))))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("part"), whole], names=["id", "part", "element"])
+    return run
 
 
 def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,14 +85,14 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([flat.jaccard_reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
+            keep = pa.array([flat.jaccard_reaches(np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return run
 
 
 def matched(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b), the pairs whose full sets reach the threshold. full: id, hashes (sorted, distinct, as bytes)."""
+    """Of (a, b), the pairs whose full sets reach the threshold. full: id, hashes (distinct, in unsigned order)."""
     x, y = full.select(F.col("id").alias("a"), F.col("hashes").alias("x")), full.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm(percent), "a long, b long")
 
@@ -122,14 +119,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         a, b = classes.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), classes.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
         likely = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimates, "a long, b long"))
         ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        full = cut(texts.mapInArrow(_full, "id long, hashes binary"))
+        full = cut(docs.mapInArrow(_full(sieve.of(ids)), "id long, hashes array<long>"))
+        release(docs.sparkSession)
         return matched(likely, full, PERCENT).distinct()
 
     def elements(items: DataFrame) -> DataFrame:
-        own = items.select(F.col("id"), "part")
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(own, "id")
-        return texts.mapInArrow(_elements, "id long, part long, element array<long>").select("id", "part", F.explode("element").alias("element"))
+        whole = docs.mapInArrow(_full(sieve.of(items.select("id"))), "id long, hashes array<long>")
+        return whole.join(items, "id").select("id", "part", F.explode("hashes").alias("element"))
 
     parts = link_components(lists, verify, elements, need, PERCENT)
     low = parts.select(F.col("id").alias("p_id"), "component")
@@ -138,3 +134,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies, all columns as they were.
+
+    That with the smallest doc_id stays; rows that repeat its doc_id stay with it, as do null doc_ids.
+    """
+    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("gone")))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    bits = sieve.of(gone)
+    doubtful = sieve.through(base, "id", bits).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return doubtful.union(sieve.through(base, "id", bits, wanted=False)).select("row.*")
