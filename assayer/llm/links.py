@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.llm import sieve
 from assayer.llm.graph import components
 from assayer.llm.lineage import cut, release
 
@@ -33,8 +34,10 @@ def link_components(lists: DataFrame, verify: Verify, elements: Callable[[DataFr
     returns the true ones. elements: takes distinct (id, part) and returns (id, part, element), the
     distinct elements of each item's whole set. need(n_keys): column, the keys that two linked items at least share.
     """
-    heads = lists.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1")
-    shared = cut(lists.join(cut(heads), "key").select("key", "id", "n", "pivot"))
+    heads = cut(lists.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1"))
+    release(lists.sparkSession)
+    met = sieve.through(lists.select("key", "id", "n"), "key", sieve.of(heads.select("key")))
+    shared = cut(met.join(heads, "key").select("key", "id", "n", "pivot"))
     size = lists.groupBy("id").agg(F.count("*").alias("n_keys")) if need else None
 
     release(lists.sparkSession)
