@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import lines, minhash, packing, paragraphs, pieces, quality, rules, suffixes, tokens
+from assayer.llm import lines, minhash, packing, paragraphs, pieces, quality, rules, suffixes, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
