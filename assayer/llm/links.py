@@ -4,11 +4,10 @@ Items meet in lists (one row per item and list). Which pairs link is settled by
 function on full data; here candidates are only chosen. Lists that a family of copies fills are
 worked off by stars: members are tried against one pivot a list, twice with different pivots, and
 what links becomes one component. Pairs inside a component need no test any more. What is left are
-pairs of different components in one list. Lists are taken coolest first (by the components that
-they hold), and an item enters as many of its lists as two linked items need to be certain to meet
-in one of them. In lists longer than ``SHORT`` an exact bound comes first: an item can have no more
-elements in common with items of other components than those that occur in other components at all.
-Pairs whose bound misses the threshold can't link; the others are all tried, so no link is lost.
+pairs of different components in one list. Lists are taken coolest first (by their length), and an item enters as many of its lists as two linked items need to be certain to meet
+in one of them. Pairs that share only lists longer than ``SHORT`` are found by a filter on their whole
+sets, rarest elements first, which rules out only pairs that can't link. The others are all tried,
+so no link is lost.
 """
 
 from __future__ import annotations
@@ -48,8 +47,8 @@ def link_components(lists: DataFrame, verify: Verify, elements: Callable[[DataFr
     parts = components(edges)
 
     placed = cut(_with(shared, parts))
-    pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id", "part")).alias("p"), F.count_distinct("part").alias("heat"))
-    pivot = cut(pivot.where("heat > 1").select("key", F.col("p.id").alias("c"), F.col("p.part").alias("c_part")))
+    pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id", "part")).alias("p"), F.min("part").alias("low"), F.max("part").alias("high"))
+    pivot = cut(pivot.where("low <> high").select("key", F.col("p.id").alias("c"), F.col("p.part").alias("c_part")))
     second = placed.join(pivot, "key").where("part <> c_part").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
     found = cut(verify(second.join(first, ["a", "b"], "left_anti")))
     edges = edges.union(found)
@@ -57,7 +56,7 @@ def link_components(lists: DataFrame, verify: Verify, elements: Callable[[DataFr
     parts = components(edges)
 
     placed = _with(shared, parts)
-    heat = placed.groupBy("key").agg(F.count_distinct("part").alias("heat")).where("heat > 1")
+    heat = placed.groupBy("key").agg(F.count("*").alias("heat"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "heat")
     live = placed.join(cut(heat), "key")
     if need:
         # Keys in no other item's list, or in lists of one component, are the coolest of all; they fill the
@@ -72,24 +71,46 @@ def link_components(lists: DataFrame, verify: Verify, elements: Callable[[DataFr
     release(lists.sparkSession)
     own = cut(elements(items))
     release(lists.sparkSession)
-    spread = own.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("element")
-    common = cut(own.join(spread, "element", "left_semi").groupBy("id").agg(F.count("*").alias("common")))
-    hot = live.join(long, "key", "left_semi").join(common, "id").where(100 * F.col("common") >= percent * F.col("n"))
+    hot = _by_elements(own, percent)
     release(lists.sparkSession)
-    third = _pairs(live.join(long, "key", "left_anti").withColumn("common", F.col("n")), percent).union(_pairs(hot, percent)).distinct()
+    cold = live.join(long, "key", "left_anti")
+    third = _by_size(cold, percent).union(hot).distinct()
     found = verify(third)
     return components(edges.union(found))
 
 
-def _pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list, of different parts, that sizes and common elements don't rule out."""
-    live = cut(live.select("key", "id", "n", "part", "common"))
-    other = live.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("common").alias("common_b"))
-    both = F.least("common", "common_b")
-    near = (F.col("id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (100 * both >= percent * (F.col("n") + F.col("n_b") - both))
+def _by_size(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one short list, of different parts, that their sizes don't rule out."""
+    live = cut(live.select("key", "id", "n", "part"))
+    other = live.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
+    near = (F.col("id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (100 * F.col("n") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n"))
     return live.join(other, "key").where(near).select(F.col("id").alias("a"), "b").distinct()
 
 
+def _by_elements(own: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different parts that a prefix and position filter on whole sets doesn't rule out. own: id, part, element.
+
+    Elements are ordered alike in all items: first those of one part only, which no pair has in common, then by rising
+    frequency. A pair's first common element bounds what it can have in common by what follows it in either item.
+    """
+    share = percent / (100.0 + percent)
+    spread = cut(own.groupBy("element").agg(F.count("*").alias("f"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("element", "f"))
+    size = cut(own.groupBy("id").agg(F.count("*").alias("n")))
+    met = own.join(spread, "element").join(size, "id")
+    each = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("f", "element"))
+    rows = met.select("id", "part", "element", "n", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
+    # The largest partner that the rest of the item, from here on, could suffice for.
+    rows = cut(rows.withColumn("most", F.floor((F.col("n") - F.col("place") + 1) / F.lit(share) - F.col("n") + 1e-9)))
+    for _ in range(2):
+        fit = rows.groupBy("element").agg(F.min("n").alias("least"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("element", "least")
+        rows = cut(rows.join(cut(fit), "element").where("most >= least").select("id", "part", "element", "n", "place", "most"))
+    other = rows.select("element", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("place").alias("place_b"))
+    room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
+    near = (F.col("id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (room >= share * (F.col("n") + F.col("n_b")) - 1e-9)
+    return rows.join(other, "element").where(near).select(F.col("id").alias("a"), "b").distinct()
+
+
 def _with(shared: DataFrame, parts: DataFrame) -> DataFrame:
     parts = parts.select(F.col("id").alias("p_id"), "component")
     return shared.join(parts, F.col("id") == F.col("p_id"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
