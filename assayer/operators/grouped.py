@@ -70,7 +70,7 @@ def histogram(df: DataFrame, by: list[str], value: Column, weight: Column, bins:
 
 def table(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Counts of row by column, zeros included."""
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def stratum_mass(df: DataFrame, sets: list[list[str]], weight: Column) -> DataFrame:

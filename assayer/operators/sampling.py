@@ -31,8 +31,8 @@ def inner_hold_out(groups: DataFrame, group: str, share: float, namespace: str,
     return out.where(F.col("rank") <= F.ceil(F.col("n") * share)).select(group)
 
 
-def qualified(df: DataFrame, group: str, item: str, groups: int, per_group: int, namespace: str, seed: int) -> DataFrame:
-    """Every row with its decision: groups with enough rows are ranked, so many kept, and so many rows of each.
+def qualified(df: DataFrame, group: str, item: str, groups: int, per_group: int, namespace: str, seed: int, take: int | None = None) -> DataFrame:
+    """Every row with its decision: groups with per_group rows or more are ranked, so many kept, and ``take`` (per_group) rows of each.
 
     With too few qualified groups nothing is selected.
     """
@@ -40,7 +40,7 @@ def qualified(df: DataFrame, group: str, item: str, groups: int, per_group: int,
     fit = ranked(sized.where(F.col("n_rows") >= per_group).select(group), group, namespace, seed, name="group_rank")
     enough = fit.agg(F.count("*").alias("n_fit"))
     rows = ranked(df, item, namespace, seed, [group], "item_rank").join(sized, group).join(fit, group, "left").crossJoin(enough)
-    decision = F.when(F.col("n_rows") < per_group, "group_too_small").when(F.col("n_fit") < groups, "shortfall").when(F.col("group_rank") > groups, "group_not_drawn").when(F.col("item_rank") > per_group, "item_not_drawn").otherwise("selected")
+    decision = F.when(F.col("n_rows") < per_group, "group_too_small").when(F.col("n_fit") < groups, "shortfall").when(F.col("group_rank") > groups, "group_not_drawn").when(F.col("item_rank") > (take or per_group), "item_not_drawn").otherwise("selected")
     return rows.withColumn("decision", decision).select(*df.columns, "decision")
 
 
