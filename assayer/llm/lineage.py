@@ -8,6 +8,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes that go to a Python worker at once. Texts are long, and a worker holds a batch whole.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, where they aren't smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = spark.conf.get(key)
+        except Exception:  # a version of Spark without this setting
+            continue
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in ``spark.checkpoint.dir``: a lost executor costs no earlier step."""
     shared_folder(df.sparkSession)
@@ -16,6 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only where the session names none (tests, one machine) is one made."""
+    small_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))

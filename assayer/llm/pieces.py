@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import flat
+from assayer.llm.lineage import small_batches
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
@@ -302,6 +303,7 @@ def encoded(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     id alone, decoded to the empty string. Repeated rows and null doc_ids are encoded like any other; other
     columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

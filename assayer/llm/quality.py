@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import flat
+from assayer.llm.lineage import small_batches
 
 #: Word buckets; SHAPES buckets for word shapes follow them.
 WORDS, SHAPES = 1 << 18, 1 << 10
@@ -148,6 +149,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
     """The model, or None where fewer than two grades are there to learn from."""
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.join(sample, "doc_id").select("doc_id", "text", "grade").orderBy("doc_id").limit(rows).mapInArrow(_features, "grade int, bucket array<int>, value array<float>").toArrow()
     grade = found.column("grade").to_numpy().astype(np.int64)
@@ -164,6 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without labels of two grades at least, expected_grade and tail_prob are null and all rows are kept.
     Repeated rows and null doc_ids are scored like any other; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit_on(docs, labels)
     if model is None:

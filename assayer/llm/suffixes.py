@@ -278,9 +278,12 @@ def stripped(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = repeated_windows(base.select("k_id", "k_text", "text"), length)
     bits = sieve.of(runs.select("k_text").distinct())
     touched = sieve.through(base, "k_text", bits).join(runs, ["k_id", "k_text"], "left").select("row", "text", "runs")
-    others = sieve.through(base, "k_text", bits, wanted=False).select("row", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("runs"))
     kind = base.schema["row"].dataType.simpleString()
-    return touched.union(others).mapInArrow(_strip(length), f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    touched = touched.mapInArrow(_strip(length), f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = F.coalesce("text", F.lit(""))
+    none = F.lit(0).cast("long")
+    others = sieve.through(base, "k_text", bits, wanted=False).select("row", whole.cast("binary").alias("kept"), F.octet_length(whole).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"))
+    return touched.union(others)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import flat
+from assayer.llm.lineage import small_batches
 
 #: Bytes encoded in one call; longer texts are cut between a word and the space before the next one, where the
 #: vocabulary's pre-tokenizer cuts too.
@@ -84,6 +85,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, per_section: bool = F
     same place on every executor. Null and empty texts have no tokens and no sections. Repeated rows and null
     doc_ids are counted like any other; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
