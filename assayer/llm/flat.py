@@ -104,7 +104,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     total = np.empty(len(buf) + 1, U)
     total[0] = 0
     np.cumsum(_BYTE[buf] * _power("up", len(buf)), out=total[1:])
-    out = (total[ends] - total[starts]) * _power("down", len(buf))[starts]
+    out = (total[ends] - total[starts]) * _power("down", len(buf) + 1)[starts]
     return mix(out + (ends - starts).astype(U) * U(_ODD))
 
 
