@@ -136,9 +136,9 @@ def _refined(graph: DataFrame, items: DataFrame, buckets: int) -> DataFrame:
     parts = cut(reverse.groupBy("m").agg(F.ceil(F.count("*") / (4 * K)).cast("int").alias("parts")))
     forward = forward.join(parts, "m", "left").select("m", "id", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
     reverse = reverse.join(parts, "m").select("m", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
-    members = forward.union(reverse).distinct().join(items.select("id", "v"), "id")
+    members = forward.union(reverse).distinct().join(items.select("id", "dim", "v"), "id")
     members = members.withColumn("bucket", F.pmod(F.xxhash64("m", "salt"), F.lit(buckets)))
-    return members.groupBy("bucket").applyInArrow(_local, _EDGE)
+    return members.groupBy("bucket", "dim").applyInArrow(_local, _EDGE)
 
 
 def _audit(items: DataFrame) -> DataFrame:
