@@ -29,3 +29,14 @@ def test_run(spark):
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_against_sql(spark, duck):
+    from assayer.llm import catalogue
+
+    for name, sql in catalogue.ORACLE_SQL.items():
+        df = catalogue.QUERIES[name](spark, DATA)
+        found = duck.execute(sql)
+        names = [d[0] for d in found.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall()), name
