@@ -78,8 +78,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> Da
         return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
 
     ranked = rows.select(*by, average_rank(x).alias("rx"), average_rank(y).alias("ry"))
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
-    return out.select(*by, "n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("rho")).alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("cov"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
+    return out.select(*by, "n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("cov") / (F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def verdict(rho: Column) -> Column:

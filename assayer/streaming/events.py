@@ -11,25 +11,30 @@ from pyspark.sql import functions as F
 from assayer.functions.scalar import plain_text
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """With a watermark; a time without a zone is taken as the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def sliding(stream: DataFrame, time: str, by: list[str], value: str, length: str, hop: str, late: str) -> DataFrame:
     """Count and sum of a value in sliding windows (no anchored tail: a stream has no end)."""
-    out = stream.withWatermark(time, late).groupBy(F.window(time, length, hop).alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    out = _timed(stream, time, late).groupBy(F.window(time, length, hop).alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
 def sessions(stream: DataFrame, time: str, by: list[str], gap: str, late: str) -> DataFrame:
     """Rows at most the gap apart as one session; its end is the last row's time plus the gap."""
-    out = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n"))
+    out = _timed(stream, time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n"))
     return out.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def running_confusion(stream: DataFrame, time: str, truth: Column, predicted: Column, length: str, late: str) -> DataFrame:
     """tp, fp, tn, fn by tumbling window; they add up over windows."""
     cell = {"tp": truth & predicted, "fp": ~truth & predicted, "tn": ~truth & ~predicted, "fn": truth & ~predicted}
-    out = stream.withWatermark(time, late).groupBy(F.window(time, length).alias("w")).agg(*(F.count_if(c).alias(n) for n, c in cell.items()))
+    out = _timed(stream, time, late).groupBy(F.window(time, length).alias("w")).agg(*(F.count_if(c).alias(n) for n, c in cell.items()))
     return out.select(F.col("w.start").alias("start"), *cell)
 
 
 def first_of_copies(stream: DataFrame, time: str, text: str, late: str) -> DataFrame:
     """The first row of each content within the watermark. (The batch operator excludes all copies instead.)"""
-    return stream.withWatermark(time, late).withColumn("content", F.sha2(plain_text(F.col(text)), 256)).dropDuplicatesWithinWatermark(["content"])
+    return _timed(stream, time, late).withColumn("content", F.sha2(plain_text(F.col(text)), 256)).dropDuplicatesWithinWatermark(["content"])

@@ -11,7 +11,7 @@ def drained(spark, df, name, mode="append"):
 
 
 def source(spark, tmp_path):
-    e = spark.read.parquet(f"{DATA}/events.parquet")
+    e = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
     return e, spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
 
