@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 WIDTH = 5  # words in a shingle
 
 _SPACE = np.zeros(256, bool)

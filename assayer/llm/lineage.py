@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows and bytes that go to a Python worker at once. Texts are long, and a worker holds a batch whole.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
