@@ -4,7 +4,8 @@ A paragraph is a run of words up to a newline or a sentence's end (a word that e
 a passage set into other text still holds whole ones. Paragraphs of ``LEAST_WORDS`` words or more with
 equal shingle sets are copies. The others are hashed into bands; paragraphs that collide are verified
 by the exact Jaccard similarity of their 5-word shingles, and of each component only the first in
-the order of (doc_id, paragraph) stays.
+the order of (doc_id, paragraph) stays. Shorter paragraphs, and the parts of those that a passage's
+edges cut, are compared as words of whole passages (``passages.py``).
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm import flat, sieve
+from assayer.llm import flat, passages, sieve
 from assayer.llm.lineage import cut, release
 from assayer.llm.links import link_components
 from assayer.llm.minhash import matched
+from assayer.llm.passages import repeated_passages
 
 PERCENT = 75
 LEAST_WORDS = 8
@@ -156,36 +158,56 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buf, off = flat.bytes_of(part.column("text"))
             edges, doc = split(buf, off)
             span = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
-            data, cuts = memoryview(buf), edges.tolist()
-            kept, removed = [], []
-            for i, gone in enumerate(part.column("gone").to_pylist()):
-                gone = {k for k in gone or () if k < span[i + 1] - span[i]}
+            starts, _, at = flat.words(buf, off)
+            heads = np.append(starts, len(buf))  # a word reaches to the next one, and those at a text's ends to them
+            full = np.flatnonzero(np.diff(at))
+            heads[at[full]] = off[full]
+            lost = np.zeros(len(buf) + 1, np.int64)
+            removed, touched = [], []
+            for i, (gone, runs) in enumerate(zip(part.column("gone").to_pylist(), part.column("runs"))):
+                gone = [k for k in gone or () if k < span[i + 1] - span[i]]
                 removed.append(len(gone))
-                kept.append(b"".join(data[cuts[k] : cuts[k + 1]] for k in range(span[i], span[i + 1]) if k - span[i] not in gone) if gone else None)
-            texts = pc.if_else(pa.array([n > 0 for n in removed], pa.bool_()), pa.array(kept, pa.binary()).cast(pa.string()), part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("row"), texts, pa.array(np.diff(np.array(span))), pa.array(removed, pa.int64())], names=["row", "kept", "n_paragraphs", "n_removed_paragraphs"])
+                touched.append(bool(gone) or runs.is_valid)
+                for k in gone:
+                    lost[edges[span[i] + k]] += 1
+                    lost[edges[span[i] + k + 1]] -= 1
+                if runs.is_valid:
+                    first = at[i] + runs.values.to_numpy()
+                    last = first + passages.LENGTH
+                    np.add.at(lost, heads[first], 1)
+                    np.add.at(lost, np.where(last < at[i + 1], heads[last], off[i + 1]), -1)
+            keep = np.cumsum(lost[:-1]) == 0
+            words = np.concatenate([[0], np.cumsum(~keep[starts])])[at]
+            kept = [buf[x:y][keep[x:y]].tobytes() if t else None for x, y, t in zip(off[:-1].tolist(), off[1:].tolist(), touched)]
+            texts = pc.if_else(pa.array(touched, pa.bool_()), pa.array(kept, pa.binary()).cast(pa.string()), part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("row"), texts, pa.array(np.diff(np.array(span))), pa.array(removed, pa.int64()), pa.array(np.diff(words))], names=["row", "kept", "n_paragraphs", "n_removed_paragraphs", "n_removed_words"])
 
 
 def stripped(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, ...): row (all its columns), kept (the text left), n_paragraphs, n_removed_paragraphs.
+    """One row per row of ``docs`` (doc_id, text, ...): row (all its columns), kept (the text left), n_paragraphs, n_removed_paragraphs,
+    n_removed_words (in removed paragraphs and passages).
 
     Of paragraphs that link (100 * |A & B| >= 75 * |A | B| over distinct 5-word shingles, A-Z lower-cased), directly
-    or through others, within a document too, the first stays. Shorter paragraphs than LEAST_WORDS words stay.
+    or through others, within a document too, the first stays. Shorter paragraphs than LEAST_WORDS words, and parts of
+    paragraphs, go where they lie in a passage of passages.LENGTH words that stands before.
     Null and empty texts stay; rows with a null doc_id take no part. Rows that repeat a doc_id are one document,
-    and lose the same paragraphs.
+    and lose the same paragraphs; rows that repeat its text too lose the same passages.
     """
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
+    runs = repeated_passages(base.select(F.col("doc_id").alias("k_id"), "k_text", "text"), split)
+    release(docs.sparkSession)
     gone = repeated_paragraphs(base.select("doc_id", "text"))
     gone = cut(gone.groupBy(F.shiftright("id", PLACE).alias("g_id")).agg(F.collect_set(F.col("id").bitwiseAND((1 << PLACE) - 1)).alias("gone")))
-    bits = sieve.of(gone.select("g_id"))
-    touched = sieve.through(base, "doc_id", bits).join(gone, F.col("doc_id") == F.col("g_id"), "left").select("row", "text", "gone")
-    others = sieve.through(base, "doc_id", bits, wanted=False).select("row", "text", F.lit(None).cast("array<long>").alias("gone"))
+    bits = sieve.of(gone.select("g_id").union(runs.select("k_id")).distinct())
+    touched = sieve.through(base, "doc_id", bits).join(gone, F.col("doc_id") == F.col("g_id"), "left")
+    touched = touched.join(runs.withColumnsRenamed({"k_id": "r_id", "k_text": "r_text"}), (F.col("doc_id") == F.col("r_id")) & (F.col("k_text") == F.col("r_text")), "left").select("row", "text", "gone", "runs")
+    others = sieve.through(base, "doc_id", bits, wanted=False).select("row", "text", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<int>").alias("runs"))
     kind = base.schema["row"].dataType.simpleString()
-    return touched.union(others).mapInArrow(_strip, f"row {kind}, kept string, n_paragraphs long, n_removed_paragraphs long")
+    return touched.union(others).mapInArrow(_strip, f"row {kind}, kept string, n_paragraphs long, n_removed_paragraphs long, n_removed_words long")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_removed_paragraphs, n_bytes, n_removed_bytes, kept_sha256 for each row of docs (doc_id, text)."""
+    """doc_id, n_paragraphs, n_removed_paragraphs, n_removed_words, n_bytes, n_removed_bytes, kept_sha256 for each row of docs (doc_id, text)."""
     out = stripped(docs.select("doc_id", "text"))
     before, after = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long"), F.coalesce(F.octet_length("kept"), F.lit(0)).cast("long")
-    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_paragraphs", "n_removed_paragraphs", before.alias("n_bytes"), (before - after).alias("n_removed_bytes"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_paragraphs", "n_removed_paragraphs", "n_removed_words", before.alias("n_bytes"), (before - after).alias("n_removed_bytes"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
