@@ -3,9 +3,9 @@
 Vectors of one label are compared by cosine in double precision. Equal vectors are one class. A
 first neighbour graph comes from leaves of random hyperplane trees; rounds of local joins then try
 each vector's neighbours, and those that have it as neighbour, against each other, and keep the
-best ``K`` of every vector. A list that is full of links is saturated: it is enlarged to its whole
-component, in blocks. An audit tries a fixed number of vectors against all; while its recall is
-below ``RECALL``, more trees and rounds follow. Edges at the threshold are kept.
+best ``K`` of every vector, until few lists change. A list that is full of links is saturated: it is enlarged to its whole
+component, in blocks. An audit tries vectors against all, more of them until enough have links; while
+its recall is below ``RECALL``, more trees and rounds follow, and in the end an error. Edges at the threshold are kept.
 """
 
 from __future__ import annotations
@@ -23,13 +23,18 @@ from assayer.llm.lineage import cut, release, tasks
 
 THRESHOLD = 0.93
 K = 10
+#: Trees of an attempt, and one more for each level of depth.
 TREES = 4
-ROUNDS = 2
+#: Rounds go on until a smaller share of the lists' entries is new.
+CHANGED = 0.02
 LEAF = 256
 BLOCK = 512
+#: Vectors to audit: at first, at most, and with links.
 AUDIT = 128
+AUDIT_MOST = 8192
+AUDIT_LINKED = 200
 RECALL = 0.98
-ATTEMPTS = 3
+ATTEMPTS = 8
 
 
 def _unit(column: pa.Array, rows: int) -> np.ndarray:
@@ -57,11 +62,14 @@ def _codes(attempt: int):
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([attempt, dim]).standard_normal((dim, TREES * 24))
-                bits = (_unit(part.column("v"), part.num_rows) @ planes[dim] > 0).reshape(-1, TREES, 24).astype(np.int64)
+                    planes[dim] = np.random.default_rng([attempt, dim]).standard_normal((dim, (TREES + 24) * 24))
+                bits = (_unit(part.column("v"), part.num_rows) @ planes[dim] > 0).reshape(-1, TREES + 24, 24).astype(np.int64)
                 code = (bits << np.arange(24)).sum(2)
-                for tree in range(TREES):
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "place", "bits", "v")), pa.array(np.full(part.num_rows, tree)), pa.array(code[:, tree])], names=["id", "place", "bits", "v", "tree", "code"])
+                depth = part.column("bits").to_numpy()
+                for tree in range(TREES + int(depth.max())):
+                    use = np.flatnonzero(tree < TREES + depth)
+                    own = part.take(pa.array(use))
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "place", "bits", "v")), pa.array(np.full(len(use), tree)), pa.array(code[use, tree])], names=["id", "place", "bits", "v", "tree", "code"])
 
     return run
 
@@ -114,11 +122,17 @@ def _local(table: pa.Table) -> pa.Table:
 
 
 def _top(edges: DataFrame) -> DataFrame:
-    edges = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """The best K of each list and all links. edges: a, b, sim, old (1 for those that the lists had)."""
+    edges = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     order = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
     return edges.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= K) | (F.col("sim") >= THRESHOLD))
 
 
+def _with(edges: DataFrame | None, grown: DataFrame) -> DataFrame:
+    grown = grown.withColumn("old", F.lit(0))
+    return cut(_top(grown if edges is None else edges.select("a", "b", "sim", F.lit(1).alias("old")).union(grown)))
+
+
 def _trees(items: DataFrame, attempt: int) -> DataFrame:
     coded = items.mapInArrow(_codes(attempt), items.select("id", "place", "bits", "v").withColumns({"tree": F.lit(0).cast("long"), "code": F.lit(0).cast("long")}).schema)
     leaf = coded.withColumn("leaf", F.xxhash64("tree", "place", F.col("code").bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))))
@@ -141,9 +155,8 @@ def _refined(graph: DataFrame, items: DataFrame, buckets: int) -> DataFrame:
     return members.groupBy("bucket", "dim").applyInArrow(_local, _EDGE)
 
 
-def _audit(items: DataFrame) -> DataFrame:
-    """All links of AUDIT vectors (those with the least hashes of their ids), by brute force in one pass."""
-    asked = items.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "place", "dim", "v").toArrow()
+def _audit(items: DataFrame, asked: pa.Table) -> DataFrame:
+    """The links of some vectors, by brute force in one pass: all of those with up to K, K at least of the others."""
     groups: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     place, dim = asked.column("place").to_numpy(), asked.column("dim").to_numpy()
     for key in set(zip(place.tolist(), dim.tolist())):
@@ -154,12 +167,14 @@ def _audit(items: DataFrame) -> DataFrame:
         for batch in batches:
             place, dim = batch.column("place").to_numpy(), batch.column("dim").to_numpy()
             a, b, sim = [], [], []
-            for key, (ids, unit) in groups.items():
+            for key in set(zip(place.tolist(), dim.tolist())) & groups.keys():
                 own = batch.filter(pa.array((place == key[0]) & (dim == key[1])))
-                if own.num_rows:
-                    sims = unit @ _unit(own.column("v"), own.num_rows).T
-                    who = own.column("id").to_numpy()
-                    i, j = np.nonzero((sims >= THRESHOLD) & (ids[:, None] != who[None, :]))
+                who, other = own.column("id").to_numpy(), _unit(own.column("v"), own.num_rows).T
+                for lo in range(0, len(groups[key][0]), BLOCK):
+                    ids, unit = (x[lo : lo + BLOCK] for x in groups[key])
+                    sims = unit @ other
+                    near = (sims >= THRESHOLD) & (ids[:, None] != who[None, :])
+                    i, j = np.nonzero(near & (np.cumsum(near, 1) <= K))
                     a.append(ids[i])
                     b.append(who[j])
                     sim.append(sims[i, j])
@@ -168,6 +183,19 @@ def _audit(items: DataFrame) -> DataFrame:
     return items.select("id", "place", "dim", "v").mapInArrow(run, _EDGE)
 
 
+def _truth(items: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Links of audited vectors, how many each has (K at most), and whether they are enough to tell the recall."""
+    n, total = AUDIT, items.count()
+    while True:
+        asked = items.orderBy(F.xxhash64("id"), "id").limit(n).select("id", "place", "dim", "v").toArrow()
+        truth = cut(_audit(items, asked))
+        due = cut(truth.groupBy("a").agg(F.least(F.count("*"), F.lit(K)).alias("due")))
+        enough = due.count() >= AUDIT_LINKED or n >= total
+        if enough or n >= AUDIT_MOST:
+            return truth, due, enough
+        n *= 8
+
+
 def _blocks(table: pa.Table) -> pa.Table:
     """Links between the members of two blocks of one component (or of one block), as counts."""
     side = table.column("side").to_numpy()
@@ -184,23 +212,31 @@ def _blocks(table: pa.Table) -> pa.Table:
 
 
 def neighbour_links(items: DataFrame) -> DataFrame:
-    """The neighbour graph's edges a, b, sim, rank; those at the threshold are links. items: id, place, dim, bits, v."""
+    """The neighbour graph's edges a, b, sim, rank; those at the threshold are links. items: id, place, dim, bits, v.
+
+    The recall is the mean over audited vectors with links, so that a crowded component counts no more than a pair.
+    Where too few have links, attempts go on until one adds less than 1 - RECALL to the links.
+    """
     spark = items.sparkSession
     buckets = tasks(spark, 12)
-    edges = None
+    truth, due, enough = _truth(items)
+    edges, before = None, 0
     for attempt in range(ATTEMPTS):
-        grown = _trees(items, attempt)
-        edges = cut(_top(grown if edges is None else grown.union(edges)))
-        for _ in range(ROUNDS):
-            edges = cut(_top(edges.select("a", "b", "sim").union(_refined(edges, items, buckets))).select("a", "b", "sim", "rank"))
+        edges = _with(edges, _trees(items, attempt))
+        while True:
+            edges = _with(edges, _refined(edges, items, buckets))
             release(spark)
-        truth = cut(_audit(items))
-        found = truth.join(edges.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-        edges = cut(_top(edges.select("a", "b", "sim").union(truth)))
-        if found[1] >= RECALL * found[0]:
-            break
-        edges = edges.select("a", "b", "sim")
-    return edges
+            listed, new = edges.where(F.col("rank") <= K).agg(F.count("*"), F.count(F.when(F.col("old") == 0, 1))).first()
+            if new <= CHANGED * listed:
+                break
+        has = edges.where(F.col("sim") >= THRESHOLD).groupBy("a").agg(F.count("*").alias("has"))
+        recall = due.join(has, "a", "left").agg(F.avg(F.least(F.coalesce("has", F.lit(0)), "due") / F.col("due"))).first()[0]
+        links = edges.where(F.col("sim") >= THRESHOLD).count()
+        settled = enough or attempt and links - before <= (1 - RECALL) * links
+        if settled and (recall is None or recall >= RECALL):
+            return _with(edges, truth)
+        before = links
+    raise RuntimeError(f"recall of the audited vectors is {recall} after {ATTEMPTS} attempts, below {RECALL} or not settled")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
