@@ -1,8 +1,8 @@
 """Line dedup: content-defined line chunks.
 
-A text is its lines. A rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is 0
-modulo ``MEAN_LINES``, so boundaries move with the content and not with the line numbers. A chunk of
-two lines with words or more that stands anywhere before, in the order of (doc_id, chunk), with the
+A text is its lines. A chunk ends at a line with words whose hash is below those of the lines with words
+beside it, every third or so, so boundaries move with the content and not with the line numbers, and
+a chunk has two lines with words at least where its text has. A chunk of two or more that stands anywhere before, in the order of (doc_id, chunk), with the
 same bytes, is removed. Digests find the candidates; bytes decide.
 """
 
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from assayer.llm import flat, sieve
 from assayer.llm.lineage import cut, release
 
-WINDOW = 2
-MEAN_LINES = 3
 #: A chunk ends here at the latest: a run of one line repeated has no boundary of its own.
 MOST_LINES = 64
 LEAST_LINES = 2
@@ -44,19 +42,22 @@ def chunks(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     last = np.append(doc[1:] != doc[:-1], True)
     ends[last] = off[1:][doc[last]]
     h = flat.span_hashes(buf, starts, np.maximum(ends, starts))
-    roll = h.copy()
-    for k in range(1, WINDOW):
-        same = np.zeros(len(h), bool)
-        same[k:] = doc[k:] == doc[:-k]
-        roll[same] += h[np.flatnonzero(same) - k] * flat._PLACE[k]
-    stop = (flat.mix(roll) % flat.U(MEAN_LINES) == 0) | last
+    words = np.concatenate([[0], np.cumsum(~flat._SPACE[buf])])
+    worded = words[np.maximum(ends, starts)] > words[starts]
+    filled = np.concatenate([[0], np.cumsum(worded)])
+    at, rank = np.flatnonzero(worded), flat.mix(h[worded])
+    inner = np.arange(1, max(len(at) - 2, 1))  # two lines with words before the end and two after it, in one text
+    inner = inner[(doc[at[inner - 1]] == doc[at[inner + 2]])] if len(at) > 3 else none
+    stop = last.copy()
+    stop[at[inner[(rank[inner] < rank[inner - 1]) & (rank[inner] <= rank[inner + 1])]]] = True
     first = np.concatenate([[True], stop[:-1]])
-    at = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    stop |= at % MOST_LINES == MOST_LINES - 1
+    run = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    stop |= run % MOST_LINES == MOST_LINES - 1
+    end = np.flatnonzero(stop)
+    short = np.flatnonzero((np.diff(np.concatenate([[0], filled[end + 1]])) < LEAST_LINES) & ~np.concatenate([[True], last[end[:-1]]]))
+    stop[end[short - 1]] = False  # joined to the chunk before
     first = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
     stop = np.flatnonzero(stop)
-    words = np.concatenate([[0], np.cumsum(~flat._SPACE[buf])])
-    filled = np.concatenate([[0], np.cumsum(words[np.maximum(ends, starts)] > words[starts])])
     return starts[first], np.maximum(ends[stop], starts[first]), doc[first], filled[stop + 1] - filled[first] >= LEAST_LINES
 
 
