@@ -7,9 +7,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Rows and bytes that go to a Python worker at once. Texts are long, and a worker holds a batch whole.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+#: The JVM's command, where its version has it.
+_TRIM = "systemTrimNativeHeap"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -30,11 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where the session names none (tests, one machine) is one made."""
+    """The session's checkpoint folder. Where the session names none, one is made on a local master (tests); on a
+    cluster that is an error, as executors share no folder that could be guessed."""
     small_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -43,6 +48,23 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that only unreachable plans still hold."""
+    """Lets Spark delete shuffle files that only unreachable plans still hold, and gives the memory that the driver's
+    native allocator keeps after compiling plans back to the system."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    if _server(spark, "isRegistered", commands):
+        if any(o.getName() == _TRIM for o in _server(spark, "getMBeanInfo", commands).getOperations()):
+            _server(spark, "invoke", commands, _TRIM, None, None)
+
+
+def _server(spark: SparkSession, name: str, *args):
+    """A method of the JVM's management server, by its public interface: the class behind it isn't open to callers."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    kind = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+    method = next(m for m in kind.getMethods() if m.getName() == name)
+    values = gateway.new_array(jvm.java.lang.Object, len(args))
+    for k, value in enumerate(args):
+        values[k] = value
+    return method.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)

@@ -4,10 +4,11 @@ Items meet in lists (one row per item and list). Which pairs link is settled by
 function on full data; here candidates are only chosen. Lists that a family of copies fills are
 worked off by stars: members are tried against one pivot a list, twice with different pivots, and
 what links becomes one component. Pairs inside a component need no test any more. What is left are
-pairs of different components in one list. Lists are taken coolest first (by their length), and an item enters as many of its lists as two linked items need to be certain to meet
-in one of them. Pairs that share only lists longer than ``SHORT`` are found by a filter on their whole
-sets, rarest elements first, which rules out only pairs that can't link. The others are all tried,
-so no link is lost.
+pairs of different components in one list. Lists are taken coolest first (by their length), and an
+item enters as many of its lists as two linked items need to be certain to meet in one of them. The
+items that such lists hold go through a prefix and position filter over their whole sets, rarest
+elements first, which rules out only pairs that can't link; so no link is lost, and a list's length
+squared is never work.
 """
 
 from __future__ import annotations
@@ -21,96 +22,96 @@ from assayer.llm import sieve
 from assayer.llm.graph import components
 from assayer.llm.lineage import cut, release
 
-SHORT = 16
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def link_components(lists: DataFrame, verify: Verify, elements: Callable[[DataFrame], DataFrame], need: Callable | None = None, percent: int = 75) -> DataFrame:
+def link_components(
+    lists: DataFrame, verify: Verify, elements: Callable[[DataFrame], DataFrame], need: Callable | None = None, percent: int = 75
+) -> DataFrame:
     """(id, component) for the items that link with a smaller one, directly or through others.
 
-    lists: key long, id long, n long (size of the item's set; sizes of linked items differ by at
-    most ``percent``). An item's keys are distinct. verify: takes (a, b) pairs with a < b and
-    returns the true ones. elements: takes distinct (id, part) and returns (id, part, element), the
-    distinct elements of each item's whole set. need(n_keys): column, the keys that two linked items at least share.
+    lists: key long, id long, own long, n_keys int. An item has one set or more, each with its own number (``own``) and
+    n_keys distinct keys; items link by any of their sets. Sizes of linked sets differ by at most ``percent``. verify:
+    takes (a, b) pairs with a < b and returns the true ones. elements: takes distinct (id, part) and returns (id, part,
+    own, n, element), the n distinct elements of each whole set. need(n_keys): column, the keys that two linked sets at
+    least share.
     """
-    heads = cut(lists.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1"))
-    release(lists.sparkSession)
-    met = sieve.through(lists.select("key", "id", "n"), "key", sieve.of(heads.select("key")))
-    shared = cut(met.join(heads, "key").select("key", "id", "n", "pivot"))
-    size = lists.groupBy("id").agg(F.count("*").alias("n_keys")) if need else None
-
-    release(lists.sparkSession)
+    spark = lists.sparkSession
+    heads = cut(lists.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1").select("key", "pivot"))
+    met = sieve.through(lists, "key", sieve.of(heads.select("key")))
+    shared = cut(met.join(heads, "key").select("key", "id", "own", "n_keys", "pivot"))
+    del met, heads
+    release(spark)
 
     first = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    edges = cut(verify(first))
-    release(lists.sparkSession)
-    parts = components(edges)
+    parts = components(verify(first))
+    release(spark)
 
     placed = cut(_with(shared, parts))
-    pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id", "part")).alias("p"), F.min("part").alias("low"), F.max("part").alias("high"))
-    pivot = cut(pivot.where("low <> high").select("key", F.col("p.id").alias("c"), F.col("p.part").alias("c_part")))
-    second = placed.join(pivot, "key").where("part <> c_part").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    found = cut(verify(second.join(first, ["a", "b"], "left_anti")))
-    edges = edges.union(found)
-    release(lists.sparkSession)
-    parts = components(edges)
-
-    placed = _with(shared, parts)
-    heat = placed.groupBy("key").agg(F.count("*").alias("heat"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "heat")
-    live = placed.join(cut(heat), "key")
+    shared = None
+    pivot = placed.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("id", "key"), "id", "part")).alias("p"), F.min("part").alias("low"), F.max("part").alias("high")
+    )
+    pivot = pivot.where("low <> high").select("key", F.col("p.id").alias("c"), F.col("p.part").alias("c_part"))
+    apart = placed.join(pivot, "key").where("part <> c_part")
+    second = apart.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    found = verify(second)
+    parts = components(_edges(parts).union(found))
+    del pivot, apart, second, found
+    release(spark)
+
+    placed = cut(_with(placed, parts))
+    heat = placed.groupBy("key").agg(F.count("*").alias("heat"), F.min("part").alias("low"), F.max("part").alias("high"))
+    live = placed.join(heat.where("low <> high").select("key", "heat"), "key")
     if need:
         # Keys in no other item's list, or in lists of one component, are the coolest of all; they fill the
         # first places of an item without being rows here.
-        live = live.join(size, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("heat", "key")))
-        live = live.withColumn("of", F.count("*").over(Window.partitionBy("id")))
-        live = live.where(F.col("n_keys") - F.col("of") + F.col("place") <= F.col("n_keys") - need(F.col("n_keys")) + 1)
-    live = cut(live.select("key", "id", "n", "part"))
-    size_of = live.groupBy("key").agg(F.count("*").alias("size"))
-    long = cut(size_of.where(F.col("size") > SHORT).select("key"))
-    items = cut(live.join(long, "key", "left_semi").select("id", "part").distinct())
-    release(lists.sparkSession)
+        each = Window.partitionBy("id", "own")
+        live = live.withColumn("place", F.row_number().over(each.orderBy("heat", "key"))).withColumn("of", F.count("*").over(each))
+        live = live.where(F.col("of") - F.col("place") + 1 >= need(F.col("n_keys")))
+        live = cut(live.select("key", "id", "part"))
+        # A list that only one component's items still enter joins nothing.
+        two = live.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+        live = live.join(two, "key", "left_semi")
+    items = cut(live.select("id", "part").distinct())
     own = cut(elements(items))
-    release(lists.sparkSession)
-    hot = _by_elements(own, percent)
-    release(lists.sparkSession)
-    cold = live.join(long, "key", "left_anti")
-    third = _by_size(cold, percent).union(hot).distinct()
-    found = verify(third)
-    return components(edges.union(found))
+    del placed, heat, live, items
+    release(spark)
+    third = _by_elements(own, percent)
+    del own
+    release(spark)
+    return components(_edges(parts).union(verify(third)))
 
 
-def _by_size(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one short list, of different parts, that their sizes don't rule out."""
-    live = cut(live.select("key", "id", "n", "part"))
-    other = live.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    near = (F.col("id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (100 * F.col("n") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n"))
-    return live.join(other, "key").where(near).select(F.col("id").alias("a"), "b").distinct()
+def _edges(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("component").alias("a"), F.col("id").alias("b"))
 
 
 def _by_elements(own: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different parts that a prefix and position filter on whole sets doesn't rule out. own: id, part, element.
+    """(a, b) of different parts that a prefix and position filter on whole sets doesn't rule out. own: id, part, own, n, element.
 
     Elements are ordered alike in all items: first those of one part only, which no pair has in common, then by rising
     frequency. A pair's first common element bounds what it can have in common by what follows it in either item.
     """
     share = percent / (100.0 + percent)
-    spread = cut(own.groupBy("element").agg(F.count("*").alias("f"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("element", "f"))
-    size = cut(own.groupBy("id").agg(F.count("*").alias("n")))
-    met = own.join(spread, "element").join(size, "id")
-    each = Window.partitionBy("id")
+    spread = own.groupBy("element").agg(F.count("*").alias("f"), F.min("part").alias("low"), F.max("part").alias("high"))
+    met = own.join(spread.where("low <> high").select("element", "f"), "element")
+    each = Window.partitionBy("id", "own")
     place = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("f", "element"))
-    rows = met.select("id", "part", "element", "n", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
+    rows = met.select("id", "part", "element", "n", place.alias("place"))
+    rows = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
     # The largest partner that the rest of the item, from here on, could suffice for.
     rows = cut(rows.withColumn("most", F.floor((F.col("n") - F.col("place") + 1) / F.lit(share) - F.col("n") + 1e-9)))
-    for _ in range(2):
-        fit = rows.groupBy("element").agg(F.min("n").alias("least"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("element", "least")
-        rows = cut(rows.join(cut(fit), "element").where("most >= least").select("id", "part", "element", "n", "place", "most"))
-    other = rows.select("element", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("place").alias("place_b"))
+    fit = rows.groupBy("element").agg(F.min("n").alias("least"), F.min("part").alias("low"), F.max("part").alias("high"))
+    rows = rows.join(fit.where("low <> high").select("element", "least"), "element").where("most >= least")
+    rows = cut(rows.select("id", "part", "element", "n", "place"))
+    other = rows.select("element", *(F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "place")))
     room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
-    near = (F.col("id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (room >= share * (F.col("n") + F.col("n_b")) - 1e-9)
-    return rows.join(other, "element").where(near).select(F.col("id").alias("a"), "b").distinct()
+    near = (F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & (room >= share * (F.col("n") + F.col("n_b")) - 1e-9)
+    return rows.join(other, "element").where(near).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _with(shared: DataFrame, parts: DataFrame) -> DataFrame:
+def _with(placed: DataFrame, parts: DataFrame) -> DataFrame:
     parts = parts.select(F.col("id").alias("p_id"), "component")
-    return shared.join(parts, F.col("id") == F.col("p_id"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    joined = placed.join(parts, F.col("id") == F.col("p_id"), "left")
+    return joined.select("key", "id", "own", "n_keys", F.coalesce("component", "id").alias("part"))

@@ -52,8 +52,8 @@ def _full(bits: np.ndarray):
             for part in flat.slices(batch.filter(pa.array(sieve.passes(bits, batch.column("doc_id"))))):
                 found = flat.sets(*flat.bytes_of(part.column("text")))
                 off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                whole = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.signed(np.concatenate([*found, np.empty(0, np.uint64)]))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), whole], names=["id", "hashes"])
+                whole = flat.signed(np.concatenate([*found, np.empty(0, np.uint64)]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), pa.array(whole))], names=["id", "hashes"])
 
     return run
 
@@ -103,29 +103,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link when 100 * |A & B| >= 75 * |A | B| over their distinct 5-word shingles (words
     ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer words than five: the whole sequence is the one
     shingle). component_id is the smallest doc_id reachable by links; kept marks that document.
-    Null and wordless texts have no shingles and link with nothing. Rows that repeat a doc_id
-    are judged each by its own text, each with a row in the result. A null doc_id links with nothing: its component is null and it
-    is kept. Other columns are not read, whatever their names.
+    Null and wordless texts have no shingles and link with nothing. Rows that repeat a doc_id are one
+    document that links by any of their texts; each has a row in the result with the shingles of its own text. A null
+    doc_id links with nothing: its component is null and it is kept. Texts may have any length. Other columns are not
+    read, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = cut(docs.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, sketch array<long>"))
     known = marked.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut(classes)
-    lists = classes.select("id", "n", F.explode("sketch").alias("key"))
+    classes = cut(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
+    lists = classes.select("id", F.col("d1").alias("own"), F.size("sketch").alias("n_keys"), F.explode("sketch").alias("key"))
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return docs.mapInArrow(_full(sieve.of(ids)), "id long, hashes array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        a, b = classes.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), classes.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-        likely = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimates, "a long, b long"))
-        ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        full = cut(docs.mapInArrow(_full(sieve.of(ids)), "id long, hashes array<long>"))
+        a, b = (classes.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b")
+        likely = cut(likely.mapInArrow(estimates, "a long, b long"))
+        full = cut(whole(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id")))))
         release(docs.sparkSession)
         return matched(likely, full, PERCENT).distinct()
 
     def elements(items: DataFrame) -> DataFrame:
-        whole = docs.mapInArrow(_full(sieve.of(items.select("id"))), "id long, hashes array<long>")
-        return whole.join(items, "id").select("id", "part", F.explode("hashes").alias("element"))
+        own = whole(items.select("id")).join(items, "id")
+        return own.select("id", "part", F.xxhash64("hashes").alias("own"), F.size("hashes").alias("n"), F.explode("hashes").alias("element"))
 
     parts = link_components(lists, verify, elements, need, PERCENT)
     low = parts.select(F.col("id").alias("p_id"), "component")
