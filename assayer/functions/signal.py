@@ -81,14 +81,75 @@ def high_fraction(x: np.ndarray, rate: int, cutoff: float) -> float:
     return float(s[np.fft.rfftfreq(len(x), 1 / rate) > cutoff].sum() / total) if total > 0 else 0.0
 
 
-def low_pass(x: np.ndarray, rate: int, cutoff: float, width: float = 200.0) -> np.ndarray:
-    """Zero-phase band limit in the frequency domain with a raised-cosine edge that ends at the cutoff. (Not an IIR design: no
-    filter library is at hand.)"""
-    f = np.fft.rfftfreq(len(x), 1 / rate)
-    gain = 0.5 * (1 + np.cos(np.pi * np.clip((f - cutoff + width) / width, 0, 1)))
+def chebyshev_order(rate: int, passband: float, stopband: float, loss: float, attenuation: float) -> int:
+    """Least order of a type II design that loses at most ``loss`` dB up to the passband edge and ``attenuation`` dB from the stopband edge on."""
+    if not 0 < passband < stopband < rate / 2:
+        raise ValueError("edges must rise within half the rate")
+    ratio = np.tan(np.pi * stopband / rate) / np.tan(np.pi * passband / rate)
+    return int(np.ceil(np.arccosh(np.sqrt((10 ** (attenuation / 10) - 1) / (10 ** (loss / 10) - 1))) / np.arccosh(ratio) - 1e-9))
+
+
+def chebyshev_power(f: np.ndarray, rate: int, stopband: float, order: int, attenuation: float) -> np.ndarray:
+    """Squared magnitude of a type II design (bilinear transform) at frequencies f."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        v = np.tan(np.pi * stopband / rate) / np.tan(np.pi * np.minimum(f, rate / 2 * (1 - 1e-12)) / rate)
+        t = np.where(np.abs(v) <= 1, np.cos(order * np.arccos(np.clip(v, -1, 1))), np.cosh(order * np.arccosh(np.maximum(np.abs(v), 1))))
+        e = t * t / (10 ** (attenuation / 10) - 1)
+        return np.where(np.isinf(e), 1.0, e / (1 + e))
+
+
+def low_pass(x: np.ndarray, rate: int, cutoff: float, width: float = 200.0, loss: float = 0.5, attenuation: float = 60.0) -> np.ndarray:
+    """Zero-phase band limit: a Chebyshev II design of derived order, run forwards and backwards. Passband edge cutoff - width (``loss``
+    dB for both runs), stopband edge cutoff (``attenuation`` dB a run). Both runs together multiply the spectrum by the
+    design's squared magnitude, which is what is done here; ends are treated as periodic."""
+    order = chebyshev_order(rate, cutoff - width, cutoff, loss / 2, attenuation)
+    gain = chebyshev_power(np.fft.rfftfreq(len(x), 1 / rate), rate, cutoff, order, attenuation)
     return np.fft.irfft(np.fft.rfft(x) * gain, len(x))
 
 
+def quantised(x: np.ndarray) -> np.ndarray:
+    """On the grid of 16-bit PCM, downwards."""
+    return np.floor(np.clip(x, -1, 1 - 1 / 32768) * 32768) / 32768
+
+
+def analysed(x: np.ndarray, rate: int, cutoff: float, least: int) -> np.ndarray:
+    """The common path of a comparison: repeated to a least length, band-limited, and on the 16-bit grid."""
+    return quantised(low_pass(np.resize(x, max(len(x), least)), rate, cutoff))
+
+
+#: Stress conditions by name: gains in dB, band limits in Hz, seconds that are kept.
+STRESS = {"clean": None, "gain_minus6": ("gain", -6.0), "gain_minus12": ("gain", -12.0), "lowpass4000": ("limit", 4000.0), "lowpass6000": ("limit", 6000.0), "first2": ("first", 2.0), "first5": ("first", 5.0)}
+
+
+def stressed(x: np.ndarray, rate: int, cell: str) -> np.ndarray:
+    """A signal under one stress condition; all members of a comparison go through the same one."""
+    rule = STRESS[cell]
+    if rule is None:
+        return x.copy()
+    kind, value = rule
+    if kind == "gain":
+        return x * 10 ** (value / 20)
+    return low_pass(x, rate, value) if kind == "limit" else x[: int(rate * value)].copy()
+
+
+def core_measures(x: np.ndarray, rate: int, threshold: float, size: int, hop: int) -> np.ndarray:
+    """rms, peak, share of active frames, and mean and deviation of the window features over all frames, and over active ones (NaN if none)."""
+    frames = framed(x, size, hop)
+    levels = np.sqrt((frames * frames).mean(1))
+    active = levels >= threshold
+    features = window_features(frames, rate)
+    parts = [np.array([np.sqrt((x * x).mean()), np.abs(x).max(), active.mean()]), features.mean(0), features.std(0)]
+    for f in (np.mean, np.std):
+        parts.append(f(features[active], 0) if active.any() else np.full(features.shape[1], np.nan))
+    return np.concatenate(parts)
+
+
+def boundary_step(x: np.ndarray, at: int, reach: int) -> float:
+    """How far the level (rms, in dB) changes from the ``reach`` samples before a place to those behind it."""
+    before, after = (np.sqrt((part * part).mean()) if len(part) else 0.0 for part in (x[max(0, at - reach) : at], x[at : at + reach]))
+    return float(20 * np.log10(max(after, FLOOR) / max(before, FLOOR)))
+
+
 def spectral_distance(x: np.ndarray, ref: np.ndarray, rate: int, cuts: tuple[float, ...], size: int = 1024, hop: int = 256) -> np.ndarray:
     """Root mean square difference in dB between two aligned signals, by band."""
     n = min(len(x), len(ref))

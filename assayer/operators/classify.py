@@ -21,6 +21,17 @@ def rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "iou": ratio(tp, tp + fp + fn), "fpr": ratio(fp, fp + tn)})
 
 
+def error_rates(df: DataFrame, by: list[str], score: str, reference: str, threshold: float, n: str | None = None) -> DataFrame:
+    """Rates at a threshold (accept when score > threshold): n_ref, n_other, frr (references missed), far (others accepted).
+
+    n: a column of the rows that a row stands for."""
+    w = F.col(n) if n else F.lit(1)
+    count = lambda c: F.sum(F.when(c, w).otherwise(0))
+    ref, over = F.col(reference), F.col(score) > threshold
+    out = df.groupBy(*by).agg(count(ref).alias("n_ref"), count(~ref).alias("n_other"), count(ref & ~over).alias("_missed"), count(~ref & over).alias("_taken"))
+    return out.select(*by, "n_ref", "n_other", ratio(F.col("_missed"), F.col("n_ref")).alias("frr"), ratio(F.col("_taken"), F.col("n_other")).alias("far"))
+
+
 def matrix(df: DataFrame, truth: str, predicted: str, labels: DataFrame, abstained: bool = False) -> DataFrame:
     """truth, predicted, n for all pairs of labels (one column ``label``), zero cells too; abstained adds predicted = -1."""
     columns = labels.select(F.col("label").alias("predicted"))
@@ -31,13 +42,15 @@ def matrix(df: DataFrame, truth: str, predicted: str, labels: DataFrame, abstain
     return grid.join(seen, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def class_scores(cells: DataFrame) -> DataFrame:
-    """label, support, precision, recall, f1 from a matrix; f1 is 0 for a class that is neither true nor predicted."""
-    rows = cells.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hit"))
-    columns = cells.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("called"))
-    both = rows.join(columns, "label", "left").withColumn("called", F.coalesce("called", F.lit(0)))
+def class_scores(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """by, label, support, precision, recall, f1 from matrices; f1 is 0 for a class that is neither true nor predicted."""
+    hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hit")
+    rows = cells.groupBy(*by, F.col("truth").alias("label")).agg(F.sum("n").alias("support"), hit)
+    columns = cells.groupBy(*by, F.col("predicted").alias("label")).agg(F.sum("n").alias("called"))
+    both = rows.join(columns, [*by, "label"], "left").withColumn("called", F.coalesce("called", F.lit(0)))
     f1 = F.coalesce(ratio(2 * F.col("hit"), F.col("support") + F.col("called")), F.lit(0.0))
-    return both.select("label", "support", ratio(F.col("hit"), F.col("called")).alias("precision"), ratio(F.col("hit"), F.col("support")).alias("recall"), f1.alias("f1"))
+    precision, recall = (ratio(F.col("hit"), F.col(c)) for c in ("called", "support"))
+    return both.select(*by, "label", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
 def macro(scores: DataFrame, value: str, by: list[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.scalar import ratio
+from assayer.operators.ordered import joined, quantiles
 
 
 def numeric_summary(df: DataFrame, by: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
@@ -15,18 +16,25 @@ def numeric_summary(df: DataFrame, by: list[str], skip: tuple[str, ...] = ()) ->
     return df.groupBy(*by).agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))))
 
 
+def _with_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], *sums: Column) -> DataFrame:
+    """n, exact quantiles and the given aggregates; quantiles are null where all values are."""
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), *sums)
+    found = quantiles(df, by, value, shares).drop("n")
+    return joined(out, found, by, "left")
+
+
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, sample std (null for one row), 5th percentile, median, 95th percentile (linear interpolation)."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q"))
-    return out.select(*by, "n", "mean", "std", *(F.col("q")[i].alias(n) for i, n in enumerate(("p05", "median", "p95"))))
+    shares = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    out = _with_quantiles(df, by, value, shares, F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return out.select(*by, "n", "mean", "std", *shares)
 
 
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, min, p05, median, p95, max, mean, population std."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.05, 0.5, 0.95, 1.0))))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), q.alias("q"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std_pop"))
-    return out.select(*by, "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "p05", "median", "p95", "high"))), "mean", "std_pop")
+    ends = F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high")
+    out = _with_quantiles(df, by, value, {"p05": 0.05, "median": 0.5, "p95": 0.95}, *ends, F.avg(value).alias("mean"), F.stddev_pop(value).alias("std_pop"))
+    return out.select(*by, "n", "low", "p05", "median", "p95", "high", "mean", "std_pop")
 
 
 def first_known(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -37,9 +45,9 @@ def first_known(df: DataFrame, by: list[str], order: str, columns: list[str]) ->
 def mode_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The most frequent value (the smallest of equals), its count and share."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("mode")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy(F.col("n").desc(), "mode")
-    ranked = counts.select("*", F.row_number().over(order).alias("rank"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
-    return ranked.where("rank = 1").select(*by, "mode", "n", ratio(F.col("n"), F.col("total")).alias("share"))
+    least = F.min(F.struct((-F.col("n")).alias("less"), "mode")).alias("first")
+    out = counts.groupBy(*by).agg(least, F.sum("n").alias("total")).withColumn("n", -F.col("first.less"))
+    return out.select(*by, F.col("first.mode").alias("mode"), "n", ratio(F.col("n"), F.col("total")).alias("share"))
 
 
 def top_share(df: DataFrame, group: str, value: Column, k: int = 10) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.scalar import hash_order
+from assayer.operators.ordered import quantiles
+
 
 def grid(df: DataFrame, size: str, length: int, hop: int) -> DataFrame:
     """Adds start and window_idx: 0, hop, 2 hop, ... and a last window that ends at the size. Empty for size 0."""
@@ -21,6 +24,16 @@ def frame_rms(df: DataFrame, by: list[str], order: str, value: str, length: int)
     return out.where(F.col("n") == length).select(*by, order, F.sqrt(F.greatest("s", F.lit(0.0)) / length).alias("rms"))
 
 
+def active_regions(df: DataFrame, by: list[str], order: str, value: str, threshold: float, length: int, share: float) -> DataFrame:
+    """Rows at which ``length`` rows begin of which so large a share lies above the threshold, the first and the last too."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(0, length - 1)
+    over = F.col(value) > threshold
+    first, last = F.first(value).over(w), F.last(value).over(w)
+    out = df.withColumns({"_share": F.avg(F.when(over, 1.0).otherwise(0.0)).over(w), "_n": F.count("*").over(w), "_a": first, "_b": last})
+    fit = (F.col("_n") == length) & (F.col("_share") >= share) & (F.col("_a") > threshold) & (F.col("_b") > threshold)
+    return out.where(fit).drop("_share", "_n", "_a", "_b")
+
+
 def smoothed(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Adds smooth, the mean of three with the edge repeated."""
     w = Window.partitionBy(*by).orderBy(order)
@@ -85,31 +98,122 @@ def guarded(runs_: DataFrame, by: list[str], size: str, guard: int) -> DataFrame
     return out.where("label >= 0 and run_end > run_start")
 
 
+#: Positions in a stretch of an axis. Intervals meet in the stretches that they reach into, so what is tried
+#: grows with how many lie side by side, not with how many a key has.
+STRETCH = 1 << 12
+
+
+def _stretches(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """One row for each stretch that [start, end) reaches into, as ``stretch``; empty intervals give none."""
+    last = F.floor((end - 1) / STRETCH).cast("long")
+    return df.where(end > start).withColumn("stretch", F.explode(F.sequence(F.floor(start / STRETCH).cast("long"), last)))
+
+
 def pure_windows(windows: DataFrame, runs_: DataFrame, by: list[str], length: int) -> DataFrame:
     """Adds label: that of the run which holds the whole window, else -1."""
-    held = windows.join(runs_.select(*by, "run_start", "run_end", "label"), by).where((F.col("run_start") <= F.col("start")) & (F.col("start") + length <= F.col("run_end")))
+    run = _stretches(runs_.select(*by, "run_start", "run_end", "label"), F.col("run_start"), F.col("run_end"))
+    own = windows.withColumn("stretch", F.floor(F.col("start") / STRETCH).cast("long"))
+    held = own.join(run, [*by, "stretch"]).where((F.col("run_start") <= F.col("start")) & (F.col("start") + length <= F.col("run_end")))
     held = held.groupBy(*by, "window_idx").agg(F.max("label").alias("label"))
     return windows.join(held, [*by, "window_idx"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
+def overlaps(left: DataFrame, right: DataFrame, by: list[str], first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+    """Pairs of intervals of one key that overlap, each once. first and second name the columns of both sides' ends."""
+    (a, b), (c, d) = first, second
+    pairs = _stretches(left, F.col(a), F.col(b)).join(_stretches(right, F.col(c), F.col(d)), [*by, "stretch"])
+    met = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
+    # A pair that meets in several stretches counts in that where its overlap begins.
+    return pairs.where(met & (F.floor(F.greatest(a, c) / STRETCH) == F.col("stretch"))).drop("stretch")
+
+
 def cell_counts(cells_: DataFrame, runs_: DataFrame, by: list[str]) -> DataFrame:
     """Samples of class 0 and of class 1 in each cell."""
-    both = cells_.join(runs_, by).where("cell_start < run_end and run_start < cell_end")
+    both = overlaps(cells_, runs_, by, ("cell_start", "cell_end"), ("run_start", "run_end"))
     width = F.least("cell_end", "run_end") - F.greatest("cell_start", "run_start")
-    return both.groupBy(*by, "cell_start", "cell_end").agg(F.sum(F.when(F.col("label") == 0, width).otherwise(0)).alias("n_zero"), F.sum(F.when(F.col("label") == 1, width).otherwise(0)).alias("n_one"))
+    of = lambda label: F.sum(F.when(F.col("label") == label, width).otherwise(0))
+    return both.groupBy(*by, "cell_start", "cell_end").agg(of(0).alias("n_zero"), of(1).alias("n_one"))
 
 
 def matched_events(found: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
     """For each reference event its best found one by intersection over union, the earliest of equals; at 0.5 and 0.75."""
     f = found.select(*by, F.col("start").alias("f_start"), F.col("end").alias("f_end"))
     r = reference.select(*by, "start", "end")
-    both = r.join(f, by).where("f_start < end and start < f_end")
+    both = overlaps(r, f, by, ("start", "end"), ("f_start", "f_end"))
     shared = F.least("end", "f_end") - F.greatest("start", "f_start")
-    both = both.withColumn("iou", shared / (F.greatest("end", "f_end") - F.least("start", "f_start")))
-    order = Window.partitionBy(*by, "start", "end").orderBy(F.col("iou").desc(), "f_start")
-    top = both.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(*by, "start", "end", "f_start", "f_end", "iou")
-    out = r.join(top, [*by, "start", "end"], "left")
-    return out.select(*by, "start", "end", "f_start", "f_end", F.coalesce("iou", F.lit(0.0)).alias("iou"), (F.coalesce("iou", F.lit(0.0)) >= 0.5).alias("hit_50"), (F.coalesce("iou", F.lit(0.0)) >= 0.75).alias("hit_75"))
+    iou = shared / (F.greatest("end", "f_end") - F.least("start", "f_start"))
+    top = both.groupBy(*by, "start", "end").agg(F.min(F.struct((-iou).alias("less"), "f_start", "f_end")).alias("top"))
+    out = r.join(top, [*by, "start", "end"], "left").withColumn("iou", F.coalesce(-F.col("top.less"), F.lit(0.0)))
+    best = F.col("top.f_start").alias("f_start"), F.col("top.f_end").alias("f_end")
+    return out.select(*by, "start", "end", *best, "iou", (F.col("iou") >= 0.5).alias("hit_50"), (F.col("iou") >= 0.75).alias("hit_75"))
+
+
+def expanded(runs_: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each position of labelled runs: by, position, label. Runs are to be preferred wherever they will do."""
+    rows = runs_.where("run_end > run_start")
+    return rows.select(*by, F.explode(F.sequence("run_start", F.col("run_end") - 1)).alias("position"), "label")
+
+
+def guarded_core(df: DataFrame, start: str, end: str, fade: str, guard: int) -> DataFrame:
+    """Adds core_start, core_end: an edit without its crossfades and a guard; the first position behind a guarded change is
+    itself one, hence one more at the start. An empty core is an error."""
+    a, b = F.col(start) + F.col(fade) + guard + 1, F.col(end) - F.col(fade) - guard
+    out = df.withColumns({"core_start": a.cast("long"), "core_end": b.cast("long")})
+    said = F.concat(F.lit("an edit without a core: "), F.concat_ws("-", F.col(start).cast("string"), F.col(end).cast("string")))
+    return out.withColumn("core_end", F.when(F.col("core_start") < F.col("core_end"), F.col("core_end")).otherwise(F.raise_error(said).cast("long")))
+
+
+def impure_cores(cored: DataFrame, kept: DataFrame, by: list[str], wanted: str) -> DataFrame:
+    """The rows of guarded_core() whose core isn't held by one guarded run (see guarded()) of the label in ``wanted``."""
+    run = kept.withColumnsRenamed({c: f"_{c}" for c in ("run_start", "run_end", "label")})
+    holds = (F.col("_run_start") <= F.col("core_start")) & (F.col("core_end") <= F.col("_run_end")) & (F.col("_label") == F.col(wanted))
+    held = cored.select(*by, "core_start", "core_end", wanted).join(run, by).where(holds).select(*by, "core_start", "core_end").distinct()
+    return cored.join(held, [*by, "core_start", "core_end"], "left_anti")
+
+
+def chosen_regions(candidates: DataFrame, by: list[str], start: str, length: int, namespace: str, seed: int, taken: tuple[str, str] | None = None) -> DataFrame:
+    """One candidate of each key, by digest of (key, start): by, start, end, n_candidates. taken: columns of an interval that the
+    choice must not touch (null: none). A key without a candidate left has a row with a null start."""
+    free = F.lit(True)
+    if taken:
+        free = F.coalesce((F.col(start) + length <= F.col(taken[0])) | (F.col(start) >= F.col(taken[1])), F.lit(True))
+    digest = hash_order(namespace, seed, F.concat_ws(":", *(F.col(c).cast("string") for c in by), F.col(start).cast("string")))
+    first = F.min(F.when(free, F.struct(digest.alias("digest"), F.col(start).alias("start")))).alias("first")
+    out = candidates.groupBy(*by).agg(first, F.count_if(free).alias("n_candidates"))
+    return out.select(*by, F.col("first.start").alias("start"), (F.col("first.start") + length).alias("end"), "n_candidates")
+
+
+def frame_levels(df: DataFrame, by: list[str], order: str, value: str, length: int, hop: int) -> DataFrame:
+    """Root mean square of frames centred on every ``hop``-th row, with zeros beyond the ends: by, frame, rms. order: 0, 1, 2, ...
+
+    A row reaches into at most ceil(length / hop) + 1 frames, so frames are sums by key and frame, not windows over a key."""
+    half = length // 2
+    at = F.col(order).cast("long")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((at - length + half) / hop).cast("long") + 1)
+    last = F.floor((at + half) / hop).cast("long")
+    size = df.groupBy(*by).agg(F.floor((F.max(at) + 1) / hop).alias("_last"))
+    rows = df.select(*by, F.explode(F.sequence(first, last)).alias("frame"), (F.col(value).cast("double") * F.col(value)).alias("_v"))
+    out = rows.groupBy(*by, "frame").agg(F.sqrt(F.sum("_v") / length).alias("rms")).join(size, by)
+    return out.where(F.col("frame") <= F.col("_last")).drop("_last")
+
+
+def silent_frames(levels: DataFrame, by: list[str], below: float) -> DataFrame:
+    """Frames more than ``below`` decibels under their key's loudest one."""
+    loudest = levels.groupBy(*by).agg(F.max("rms").alias("_top"))
+    floor = F.col("_top") * 10 ** (-below / 20)
+    return levels.join(loudest, by).where(F.col("rms") < floor).drop("_top")
+
+
+def quiet_frames(levels: DataFrame, by: list[str], least: float, share: float) -> DataFrame:
+    """Of the frames louder than ``least``, those up to the share's quantile of their levels in their key."""
+    recorded = levels.where(F.col("rms") > least)
+    cut = quantiles(recorded, by, "rms", {"_cut": share}).drop("n")
+    return recorded.join(cut, by).where(F.col("rms") <= F.col("_cut")).drop("_cut")
+
+
+def masked(df: DataFrame, frames: DataFrame, by: list[str], order: str, hop: int) -> DataFrame:
+    """The rows that the reference's frames cover by place: a frame stands for ``hop`` rows from its own place on."""
+    return df.withColumn("frame", F.floor(F.col(order) / hop).cast("long")).join(frames.select(*by, "frame"), [*by, "frame"], "left_semi").drop("frame")
 
 
 def distance_band(distance: Column, edges: tuple[float, ...] = (0.05, 0.15, 0.25, 0.5, 1.0)) -> Column:

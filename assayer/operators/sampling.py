@@ -6,12 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalar import hash_order
+from assayer.operators.ordered import running
+
+
+#: First hexadecimal digits of a digest that deal an ungrouped order over tasks: 4,096 slots.
+DIGITS = 3
 
 
 def ranked(df: DataFrame, value: str, namespace: str, seed: int, by: list[str] = (), name: str = "rank") -> DataFrame:
-    """1-based place by sha256(seed:namespace:value), then value."""
-    order = Window.partitionBy(*by).orderBy(hash_order(namespace, seed, F.col(value)), value)
-    return df.withColumn(name, F.row_number().over(order))
+    """1-based place by sha256(seed:namespace:value), then value.
+
+    Without groups the order is dealt over slots of the digest, and a slot's rows count on from those of the slots before it.
+    """
+    order = [hash_order(namespace, seed, F.col(value)), value]
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    rows = df.withColumn("_slot", F.substring(order[0], 1, DIGITS))
+    slots = rows.groupBy("_slot").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.select("_slot", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_slot").orderBy(*order)))
+    place = F.col("_before") + F.col("_in")
+    return rows.join(F.broadcast(slots), "_slot").withColumn(name, place).drop("_slot", "_in", "_before")
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """Adds n, the number of all rows."""
+    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))  # one row
 
 
 def folds(groups: DataFrame, group: str, k: int, namespace: str, seed: int) -> DataFrame:
@@ -27,7 +48,7 @@ def nested(folded: DataFrame, group: str, held: int, namespace: str, seed: int)
 
 def inner_hold_out(groups: DataFrame, group: str, share: float, namespace: str, seed: int) -> DataFrame:
     """The first ceil(share) of the groups in hash order."""
-    out = ranked(groups.select(group).distinct(), group, namespace, seed).withColumn("n", F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = ranked(_counted(groups.select(group).distinct()), group, namespace, seed)
     return out.where(F.col("rank") <= F.ceil(F.col("n") * share)).select(group)
 
 
@@ -70,7 +91,7 @@ def balanced(df: DataFrame, by: list[str], label: str, item: str, cap: int, name
 
 def frozen_split(units: DataFrame, unit: str, shares: dict[str, float], namespace: str, seed: int) -> DataFrame:
     """unit, split: rounded shares in hash order, the remainder to the last split."""
-    out = ranked(units.select(unit).distinct(), unit, namespace, seed).withColumn("n", F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = ranked(_counted(units.select(unit).distinct()), unit, namespace, seed)
     names, split, bound = list(shares), None, F.lit(0)
     for name in names[:-1]:
         bound = bound + F.bround(F.col("n") * shares[name], 0)
@@ -107,6 +128,8 @@ def best(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
 
 
 def order_statistic(df: DataFrame, by: list[str], value: str, budget: float) -> DataFrame:
-    """The value at 0-based place floor(budget * n) of the sorted ones."""
-    rows = df.select(*by, F.col(value).alias("cutoff"), F.row_number().over(Window.partitionBy(*by).orderBy(value)).alias("k"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    return rows.where(F.col("k") == F.floor(F.col("n") * budget) + 1).select(*by, "n", "cutoff")
+    """The value at 0-based place floor(budget * n) of the sorted ones, which aren't null: by, n, cutoff."""
+    ties = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("cutoff")).agg(F.count("*").alias("_k"))
+    ties = running(ties, by, "cutoff", ["_k"])
+    at = F.min(F.when(F.col("_k_cum") > F.floor(F.col("_k_all") * budget), F.col("cutoff")))
+    return ties.groupBy(*by).agg(F.max("_k_all").alias("n"), at.alias("cutoff"))

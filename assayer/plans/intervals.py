@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayer.operators import intervals as I
+from assayer.operators.ordered import quantiles
 from assayer.plans.registry import Catalogue, table
 
 catalogue = Catalogue()
@@ -23,11 +25,30 @@ def w02(spark, sf):
 
 @add("W03_active_regions", "select user_id, event_id from (select user_id, event_id, avg(case when value > 20 then 1.0 else 0.0 end) over w as share, count(*) over w as n, first_value(value) over w as a, last_value(value) over w as b from events window w as (partition by user_id order by event_id rows between current row and 4 following)) where n = 5 and share >= 0.8 and a > 20 and b > 20")
 def w03(spark, sf):
-    from pyspark.sql import Window
+    return I.active_regions(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 20, 5, 0.8).drop("value")
 
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(0, 4)
-    rows = table(spark, sf, "events").select("user_id", "event_id", F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0)).over(w).alias("share"), F.count("*").over(w).alias("n"), F.first("value").over(w).alias("a"), F.last("value").over(w).alias("b"))
-    return rows.where("n = 5 and share >= 0.8 and a > 20 and b > 20").select("user_id", "event_id")
+
+_PLACED = "(select user_id, event_id, value, row_number() over (partition by user_id order by event_id) - 1 as pos from events where user_id is not null and value is not null)"
+
+
+def _placed(spark, sf):
+    """Each user's events by their place: 0, 1, 2, ..."""
+    rows = table(spark, sf, "events").where("user_id is not null and value is not null").select("user_id", "event_id", "value")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long") - 1)
+
+
+@add("W04_disjoint_regions", f"""with c as (select user_id, pos from (select user_id, pos, avg(case when value > 20 then 1.0 else 0.0 end) over w as share, count(*) over w as n, first_value(value) over w as a, last_value(value) over w as b
+  from {_PLACED} window w as (partition by user_id order by pos rows between current row and 4 following)) where n = 5 and share >= 0.6 and a > 20 and b > 20),
+one as (select user_id, arg_min(pos, sha256('7:region-1:' || user_id || ':' || pos)) as start from c group by 1),
+two as (select c.user_id, arg_min(c.pos, sha256('7:region-2:' || c.user_id || ':' || c.pos)) filter (where c.pos + 5 <= o.start or c.pos >= o.start + 5) as start, count(*) filter (where c.pos + 5 <= o.start or c.pos >= o.start + 5) as n_candidates from c join one o using (user_id) group by 1)
+select user_id, one.start as first_start, two.start as second_start, two.start + 5 as second_end, n_candidates from one join two using (user_id)""")
+def w04(spark, sf):
+    """A region of each user's events by digest, and a second one that doesn't touch it."""
+    found = I.active_regions(_placed(spark, sf), ["user_id"], "pos", "value", 20, 5, 0.6).select("user_id", "pos")
+    one = I.chosen_regions(found, ["user_id"], "pos", 5, "region-1", 7).select("user_id", F.col("start").alias("first_start"), F.col("end").alias("first_end"))
+    two = I.chosen_regions(found.join(one, "user_id"), ["user_id"], "pos", 5, "region-2", 7, ("first_start", "first_end"))
+    out = one.join(two, "user_id")
+    return out.select("user_id", "first_start", F.col("start").alias("second_start"), F.col("end").alias("second_end"), "n_candidates")
 
 
 _EDIT = "(select doc_id, n_chars, n_chars // 4 as a, n_chars // 2 as b, 5 as f from documents where n_chars >= 100)"
@@ -47,11 +68,28 @@ def w05(spark, sf):
 _GUARDED = f"""(select doc_id, case when b is null then 7 else run_start + 8 end::bigint as run_start, case when a is null then n_chars - 7 else run_end - 7 end::bigint as run_end, label from (select *, lag(label) over w as b, lead(label) over w as a from {_RUNS} window w as (partition by doc_id order by run_start)) where label >= 0 and (case when a is null then n_chars - 7 else run_end - 7 end) > (case when b is null then 7 else run_start + 8 end))"""
 
 
+@add("W06_dense_labels", f"select doc_id, label, count(*) as n, sum(position)::bigint as places from (select doc_id, label, unnest(range(run_start, run_end)) as position from {_RUNS}) group by 1, 2")
+def w06(spark, sf):
+    """One label for each position, summed up again."""
+    dense = I.expanded(_runs(spark, sf), ["doc_id"])
+    return dense.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum("position").alias("places"))
+
+
 @add("W07_guarded_runs", f"select * from {_GUARDED}")
 def w07(spark, sf):
     return I.guarded(_runs(spark, sf), ["doc_id"], "n_chars", 7).select("doc_id", "run_start", "run_end", "label")
 
 
+@add("W21_guarded_core", f"""select e.doc_id, e.a + 13 as core_start, e.b - 12 as core_end, exists (select 1 from {_GUARDED} g where g.doc_id = e.doc_id and g.run_start <= e.a + 13 and e.b - 12 <= g.run_end and g.label = 1) as pure
+from (select doc_id, n_chars // 4 as a, n_chars // 2 as b from documents where n_chars >= 200) e""")
+def w21(spark, sf):
+    """Cores of edits without crossfades and guard, and whether a guarded run of label 1 holds them."""
+    edits = table(spark, sf, "documents").where("n_chars >= 200").selectExpr("doc_id", "n_chars div 4 as a", "n_chars div 2 as b", "5 as f", "1 as wanted")
+    cored = I.guarded_core(edits, "a", "b", "f", 7)
+    impure = I.impure_cores(cored, w07(spark, sf), ["doc_id"], "wanted").select("doc_id", F.lit(False).alias("_pure"))
+    return cored.join(impure, "doc_id", "left").select("doc_id", "core_start", "core_end", F.coalesce("_pure", F.lit(True)).alias("pure"))
+
+
 _WINDOWS = "(select doc_id, n_chars, (row_number() over (partition by doc_id order by start) - 1)::int as window_idx, start from (select distinct doc_id, n_chars, unnest(list_concat(generate_series(0::bigint, greatest(n_chars - 60, 0), 40), [greatest(n_chars - 60, 0)])) as start from documents where n_chars >= 100))"
 
 
@@ -127,8 +165,8 @@ def w18(spark, sf):
 
 @add("W19_two_level_percentile", "select event_type, round(median(p), 6) as floor_level from (select event_type, user_id, quantile_cont(value, 0.1) as p from events group by 1, 2) group by 1")
 def w19(spark, sf):
-    each = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.percentile("value", F.lit(0.1)).alias("p"))
-    return each.groupBy("event_type").agg(F.round(F.median("p"), 6).alias("floor_level"))
+    each = quantiles(table(spark, sf, "events"), ["event_type", "user_id"], "value", {"p": 0.1})
+    return quantiles(each, ["event_type"], "p", {"floor_level": 0.5}).select("event_type", F.round("floor_level", 6).alias("floor_level"))
 
 
 @add("W20_threshold_sweep", "select t as threshold, label, round(avg(n), 6) as mean_over from (select t, label, len(list_filter(embedding, lambda x: abs(x) > t)) as n from embeddings, (select unnest([0.05::double, 0.1, 0.2]) as t)) group by 1, 2")
@@ -144,4 +182,18 @@ def w23(spark, sf):
     return e.crossJoin(F.broadcast(e.agg(F.max("event_id").alias("top")))).select("event_id", F.round(40 + 920 * F.col("event_id") / F.col("top"), 6).alias("x"))
 
 
+@add("W25_reference_masks", f"""with p as {_PLACED}, n as (select user_id, max(pos) + 1 as n from p group by 1), f as (select user_id, unnest(range(0, n // 2 + 1)) as frame from n),
+l as (select f.user_id, f.frame, sqrt(sum(p.value::double * p.value) / 6) as rms from f join p on p.user_id = f.user_id and p.pos >= f.frame * 2 - 3 and p.pos < f.frame * 2 + 3 group by 1, 2),
+m as (select user_id, frame, rms < max(rms) over (partition by user_id) * power(10, -0.5) as silent from l),
+c as (select user_id, quantile_cont(rms, 0.2) as cut from l where rms > 1 group by 1), q as (select l.user_id, l.frame from l join c using (user_id) where rms > 1 and rms <= cut)
+select user_id, count(*) filter (where m.silent) as n_silent, count(*) filter (where q.frame is not null) as n_quiet from p join m on m.user_id = p.user_id and m.frame = p.pos // 2 left join q on q.user_id = p.user_id and q.frame = p.pos // 2 group by p.user_id having count(*) filter (where m.silent) + count(*) filter (where q.frame is not null) > 0""".replace("select user_id, count(*) filter (where m.silent)", "select p.user_id, count(*) filter (where m.silent)"))
+def w25(spark, sf):
+    """Events under a user's silent frames (10 dB below the loudest) and under the quietest fifth of those above a floor."""
+    rows = _placed(spark, sf)
+    levels = I.frame_levels(rows, ["user_id"], "pos", "value", 6, 2)
+    silent = I.masked(rows, I.silent_frames(levels, ["user_id"], 10), ["user_id"], "pos", 2).select("user_id", F.lit(1).alias("s"), F.lit(0).alias("q"))
+    quiet = I.masked(rows, I.quiet_frames(levels, ["user_id"], 1, 0.2), ["user_id"], "pos", 2).select("user_id", F.lit(0).alias("s"), F.lit(1).alias("q"))
+    return silent.union(quiet).groupBy("user_id").agg(F.sum("s").alias("n_silent"), F.sum("q").alias("n_quiet"))
+
+
 QUERIES, ORACLE_SQL = catalogue.queries, catalogue.sql

@@ -33,7 +33,7 @@ def _lengths(spark, sf, truth="quality"):
 @add("A09_event_type_eer", _PAIRS + _EER + "select condition, n_ref, n_other, round(eer, 9) as eer, threshold from g")
 def a09(spark, sf):
     """For each event type, how separable its values are from the reference type's."""
-    out = ranking.eer(_events(spark, sf), ["condition"], "score", F.col("is_ref"))
+    out = ranking.eer(_events(spark, sf), ["condition"], "score", F.col("is_ref"), F.col("n"))
     return out.select("condition", "n_ref", "n_other", F.round("eer", 9).alias("eer"), "threshold")
 
 
@@ -66,7 +66,7 @@ def a11(spark, sf):
 
 @add("A07_event_type_auroc_unoriented", f"select condition, greatest(auroc, 1 - auroc) as separability from ({_PAIRS} {_AUC})")
 def a07(spark, sf):
-    out = ranking.auroc(_events(spark, sf), ["condition"], "score", F.col("is_ref")).withColumn("auroc", F.round("auroc", 9))
+    out = ranking.auroc(_events(spark, sf), ["condition"], "score", F.col("is_ref"), F.col("n")).withColumn("auroc", F.round("auroc", 9))
     return out.select("condition", F.greatest("auroc", 1 - F.col("auroc")).alias("separability"))
 
 

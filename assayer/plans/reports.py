@@ -30,9 +30,8 @@ def a16(spark, sf):
 
 @add("A20_error_rates_at_threshold", "select condition, n_ref, n_other, round(missed::double / n_ref, 9) as frr, round(accepted::double / n_other, 9) as far from (select condition, count(*) filter (where is_ref) as n_ref, count(*) filter (where not is_ref) as n_other, count(*) filter (where is_ref and score <= 30) as missed, count(*) filter (where not is_ref and score > 30) as accepted from (" + R._PAIRS + " select * from x) group by 1)")
 def a20(spark, sf):
-    x = R._events(spark, sf)
-    out = x.groupBy("condition").agg(F.count_if("is_ref").alias("n_ref"), F.count_if(~F.col("is_ref")).alias("n_other"), F.count_if(F.col("is_ref") & (F.col("score") <= 30)).alias("missed"), F.count_if(~F.col("is_ref") & (F.col("score") > 30)).alias("accepted"))
-    return out.select("condition", "n_ref", "n_other", F.round(ratio(F.col("missed"), F.col("n_ref")), 9).alias("frr"), F.round(ratio(F.col("accepted"), F.col("n_other")), 9).alias("far"))
+    out = classify.error_rates(R._events(spark, sf), ["condition"], "score", "is_ref", 30, "n")
+    return out.select("condition", "n_ref", "n_other", F.round("frr", 9).alias("frr"), F.round("far", 9).alias("far"))
 
 
 @add("A26_modal_lag_gate", """with d as (select l_suppkey % 10 as condition, l_linenumber - 3 as lag from lineitem), m as (select condition, lag, count(*) as n, row_number() over (partition by condition order by count(*) desc, lag) as k, sum(count(*)) over (partition by condition) as t from d group by 1, 2)

@@ -142,30 +142,58 @@ def f15(spark, sf):
 @add("M03_verifier")
 def m03(spark, sf):
     """Mahalanobis distance, largest softmax share and energy of every vector under a verifier fitted on labels 0-2."""
-    rows = table(spark, sf, "embeddings").withColumn("x", F.slice("embedding", 1, 8))
-    model = models.fit_verifier(rows.where("label < 3"), "x", "label")
-    out = models.verify(models.centroid_logits(rows, model, "x"), model, "x", "logits")
-    return out.select("vec_id", "label", F.round("distance", 6).alias("distance"), F.round("msp", 6).alias("msp"), F.round("negative_energy", 6).alias("negative_energy"))
+    rows = table(spark, sf, "embeddings")
+    model = models.fit_verifier(rows.where("label < 3"), "embedding", "label")
+    out = models.verify(models.centroid_logits(rows, model, "embedding"), model, "embedding", "logits")
+    return out.select("vec_id", "label", *(F.round(c, 6).alias(c) for c in ("distance", "msp", "negative_energy")))
+
+
+@add("M04_cutoff_and_gate", """with c as (select value, row_number() over (order by value) as k, count(*) over () as n from events where event_type = 'view' and value is not null),
+g as (select value, row_number() over (order by value) as k, count(*) over () as n from events where event_type = 'click' and value is not null)
+select (select value from c where k = floor(n * 0.05) + 1) as cutoff, (select max(n) from c)::bigint as n, round((select value from g where k = floor(n * 0.05) + 1), 9) as gate, true as below""")
+def m04(spark, sf):
+    """Calibration: what known rows must reach, and what genuine ones must stay below."""
+    e = table(spark, sf, "events").where("value is not null")
+    cutoff = models.confidence_cutoff(e.where("event_type = 'view'"), "value", 0.05)
+    genuine = e.where("event_type = 'click'")
+    gate = models.genuine_gate(genuine, "value", 0.05).select("gate")
+    first = models.confidence_cutoff(genuine, "value", 0.05).select(F.col("cutoff").alias("first"))
+    out = cutoff.crossJoin(gate).crossJoin(first)
+    return out.select("cutoff", "n", F.round("gate", 9).alias("gate"), (F.col("gate") < F.col("first")).alias("below"))
+
+
+def _balanced(spark, sf):
+    return table(spark, sf, "embeddings").withColumn("y", (F.col("label") >= 5).cast("double"))
 
 
 @add("M01_logistic_margins")
 def m01(spark, sf):
-    """Margins of a balanced logistic regression, labels 0-4 against 5-9."""
-    rows = table(spark, sf, "embeddings").withColumn("y", (F.col("label") >= 5).cast("double"))
-    return models.logistic(rows, "embedding", "y")(rows).select("vec_id", "y", F.round("margin", 4).alias("margin"))
+    """Margins of a logistic regression, labels 0-4 against 5-9."""
+    rows = _balanced(spark, sf)
+    model = models.logistic(rows, "embedding", "y")
+    return model.score(rows, "embedding").select("vec_id", "y", F.round("margin", 4).alias("margin"))
+
+
+@add("M01_multinomial")
+def m01_many(spark, sf):
+    """The likeliest of all labels for every vector."""
+    rows = table(spark, sf, "embeddings").where("label is not null")
+    return models.logistic(rows, "embedding", "label").score(rows, "embedding").select("vec_id", "label", "predicted")
 
 
-@add("B02_grouped_interval")
-def b02(spark, sf):
-    e = table(spark, sf, "events").where("user_id is not null")
-    drawn = resample.draws(e, "user_id", 200, 404)
-    return resample.ratio_interval(e, "user_id", F.when(F.col("event_type") == "purchase", 1).otherwise(0), F.lit(1), drawn)
+@add("M02_weighted_frozen")
+def m02(spark, sf):
+    """Row weights, under a normalisation that is frozen on other rows."""
+    rows = _balanced(spark, sf).withColumn("w", 1.0 + F.col("vec_id") % 3)
+    frozen = models.normalisation(rows.where("y = 0"), "embedding")
+    return models.logistic(rows, "embedding", "y", weight="w", scaling=frozen).score(rows, "embedding").select("vec_id", F.round("margin", 4).alias("margin"))
 
 
-@add("B03_paired_change")
-def b03(spark, sf):
-    e = table(spark, sf, "events").where("user_id is not null")
-    return resample.paired_change(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", F.col("value"), resample.draws(e, "user_id", 200, 405))
+@add("M06_out_of_fold")
+def m06(spark, sf):
+    """Every vector's probability under the model that has not seen its fold."""
+    rows = _balanced(spark, sf).withColumn("fold", F.pmod("vec_id", F.lit(3)))
+    return models.out_of_fold(rows, "embedding", "y", "fold", 3).select("vec_id", "fold", F.round("probability", 4).alias("probability"))
 
 
 QUERIES, ORACLE_SQL = catalogue.queries, catalogue.sql

@@ -67,7 +67,7 @@ def test_verifier_against_numpy(spark):
 def test_logistic_separates(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([((rng.standard_normal(3) + k * 2).tolist(), float(k)) for k in (0, 1) for _ in range(60)], "x array<double>, y double")
-    out = models.logistic(df, "x", "y")(df).select("y", "margin").collect()
+    out = models.logistic(df, "x", "y").score(df, "x").select("y", "margin").collect()
     assert np.mean([(r.margin > 0) == (r.y > 0) for r in out]) > 0.9
 
 
