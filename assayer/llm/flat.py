@@ -140,6 +140,20 @@ def sets(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> list[np.ndarra
     return [np.unique(h[a:b]) for a, b in zip(to[:-1], to[1:])]
 
 
+def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` consecutive hashes (by their upper 40 bits, the first of equal ones)."""
+    n = len(h) - width + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    low = U((1 << 24) - 1)
+    place = np.arange(len(h), dtype=U)
+    least, reach = h & ~low | place & low, 1
+    while 2 * reach <= width:
+        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+    least = np.minimum(least[:n], least[width - reach : width - reach + n])
+    return (place[:n] + ((least & low) - place[:n] & low)).astype(np.int64)
+
+
 def jaccard_reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |a & b| >= percent * |a | b| for two sorted distinct arrays; two empty sets never do."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)

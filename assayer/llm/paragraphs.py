@@ -1,11 +1,10 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a run of words up to a newline or a sentence's end (a word that ends in . ! or ?), so
-a passage set into other text still holds whole ones. Paragraphs of ``LEAST_WORDS`` words or more with
-equal shingle sets are copies. The others are hashed into bands; paragraphs that collide are verified
-by the exact Jaccard similarity of their 5-word shingles, and of each component only the first in
-the order of (doc_id, paragraph) stays. Shorter paragraphs, and the parts of those that a passage's
-edges cut, are compared as words of whole passages (``passages.py``).
+A paragraph is a text's words up to a newline. Paragraphs of ``LEAST_WORDS`` words or more with equal shingle sets are
+copies. The others are hashed into bands; paragraphs that collide are verified by the exact Jaccard
+similarity of their 5-word shingles, and of each component only the first in the order of (doc_id, text,
+paragraph) stays. Shorter paragraphs, and the parts of those that a passage's edges cut, are compared as words of
+whole passages (``passages.py``), so a short line that many clean texts share (a licence, a greeting) stays.
 """
 
 from __future__ import annotations
@@ -25,22 +24,19 @@ from assayer.llm.minhash import matched
 from assayer.llm.passages import repeated_passages
 
 PERCENT = 75
-LEAST_WORDS = 8
+LEAST_WORDS = 25
 RECALL = 0.999
-#: Paragraph numbers' bits in a paragraph's id, which is doc_id << PLACE | number.
-PLACE = 24
+#: Hashes of a paragraph at most.
+HASHES = 64
 
-_END = np.zeros(256, bool)
-_END[list(b".!?")] = True
 
-
-def tune_bands(threshold: float, recall: float, most: int = 64) -> tuple[int, int]:
-    """(bands, rows) with the fewest hashes that find a pair at the threshold with at least this probability; of
-    those with the same bands, the most selective."""
+def tune_bands(threshold: float, recall: float, most: int = HASHES) -> tuple[int, int]:
+    """(bands, rows) that find a pair at the threshold with at least this probability, with ``most`` hashes at most: the
+    most rows in a band, as dissimilar pairs collide the less the more rows there are."""
     best = None
-    for rows in range(1, 5):
+    for rows in range(1, most + 1):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
-        if bands * rows <= most and (best is None or (bands, -rows) < (best[0], -best[1])):
+        if bands * rows <= most:
             best = (bands, rows)
     if best is None:
         raise ValueError("no banding reaches this recall with so few hashes")
@@ -48,6 +44,7 @@ def tune_bands(threshold: float, recall: float, most: int = 64) -> tuple[int, in
 
 
 BANDS, ROWS = tune_bands(PERCENT / 100, RECALL)
+_TURN = flat.mix(np.arange(1, BANDS * ROWS + 1, dtype=flat.U) * flat.U(0x9E3779B97F4A7C15)) | flat.U(1)
 
 
 def split(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,99 +54,113 @@ def split(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         full = np.flatnonzero(np.diff(off))
         return np.unique(off), full
     breaks = np.concatenate([[0], np.cumsum(buf == 10)])
-    close = _END[buf[ends - 1]]
-    close[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
-    first = np.flatnonzero(close[:-1]) + 1
+    first = np.flatnonzero(breaks[starts[1:]] > breaks[ends[:-1]]) + 1
     inner = np.ones(len(starts) + 1, bool)
     inner[at[:-1]] = False  # a text's first word starts no paragraph of its own: the text's start does
     edges = np.unique(np.concatenate([off, starts[first[inner[first]]]]))
     return edges, np.searchsorted(off, edges[:-1], "right") - 1
 
 
-def _numbers(doc: np.ndarray) -> np.ndarray:
-    return np.arange(len(doc)) - np.searchsorted(doc, doc)
-
-
-def _parts(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """ids, shingle hashes with offsets, of the paragraphs that are long enough."""
-    buf, off = flat.bytes_of(part.column("text"))
+def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts' paragraphs: shingle hashes, n + 1 offsets into them, word counts, and the text that each is in."""
     edges, doc = split(buf, off)
-    if not len(doc):
-        return np.empty(0, np.int64), []
     h, to, n_words = flat.shingles(buf, edges)
-    ids = part.column("doc_id").to_numpy()[doc] << PLACE | _numbers(doc)
-    use = np.flatnonzero(n_words >= LEAST_WORDS)
-    return ids[use], [h[to[i] : to[i + 1]] for i in use.tolist()]
+    return h, to, n_words, doc
+
+
+def _sets(h: np.ndarray, to: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sorted hashes of some paragraphs, one after the other, and where each begins; none is empty."""
+    size = (to[1:] - to[:-1])[use]
+    h, own = flat.ragged(h, to[:-1][use], size), np.repeat(np.arange(len(use)), size)
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
+    return h[new], np.searchsorted(own[new], np.arange(len(use)))
 
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in flat.slices(batch):
-            ids, own = _parts(part)
-            if not len(ids):
+            h, to, n_words, doc = _parts(*flat.bytes_of(part.column("text")))
+            use = np.flatnonzero(n_words >= LEAST_WORDS)
+            if not len(use):
                 continue
-            h, doc = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-            h, doc = h[new], doc[new]
-            head = np.searchsorted(doc, np.arange(len(own)))
+            h, head = _sets(h, to, use)
             mark = np.add.reduceat(flat.mix(h ^ flat.U(0x5851F42D4C957F2D)), head)  # of the set
             keys = []
             for band in range(BANDS):
-                key = np.full(len(own), band + 1, flat.U)
-                for row in range(ROWS):
-                    salt = flat.mix(np.array([band * 64 + row + 11], flat.U))[0]
-                    key = flat.mix(key * flat.U(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(flat.mix(h ^ salt), head))
+                key = np.full(len(use), band + 1, flat.U)
+                for turn in _TURN[band * ROWS : (band + 1) * ROWS]:
+                    key = flat.mix(key * flat.U(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(h * turn, head))
                 keys.append(flat.signed(key))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(keys, 1).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            pick = pa.array(doc[use])
+            number = (np.arange(len(doc)) - np.searchsorted(doc, doc))[use]
             n = np.diff(np.append(head, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(flat.signed(mark)), lists], names=["id", "n", "mark", "keys"])
-
-
-def _full(bits: np.ndarray):
-    by_doc, by_id = bits
+            columns = [part.column("k_id").take(pick), part.column("k_text").take(pick), *map(pa.array, (number, n, flat.signed(mark))), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["k_id", "k_text", "number", "n", "mark", "keys"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in flat.slices(batch.filter(pa.array(sieve.passes(by_doc, batch.column("doc_id"))))):
-                ids, own = _parts(part)
-                keep = np.flatnonzero(sieve.passes(by_id, pa.array(ids)))
-                found = [np.unique(own[i]) for i in keep]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.ListArray.from_arrays(pa.array(off), pa.array(flat.signed(np.concatenate([*found, np.empty(0, np.uint64)]))))], names=["id", "hashes"])
 
-    return run
-
-
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """(id) of the paragraphs that go: doc_id << 24 | number. docs: doc_id, text."""
-    docs = docs.where("doc_id is not null")
-    marked = cut(docs.mapInArrow(_band, "id long, n long, mark long, keys array<long>"))
-    same = cut(marked.groupBy("mark", "n").agg(F.count("*").alias("many"), F.min("id").alias("rep")).where("many > 1").select("mark", "n", "rep"))
-    suspects = sieve.through(marked.select("id", "mark", "n"), "mark", sieve.of(same.select("mark")))
-    copies = cut(suspects.join(same, ["mark", "n"]).where("id <> rep").select("id").distinct())
-    bits = sieve.of(copies)
-    doubtful = sieve.through(marked, "id", bits).join(copies, "id", "left_anti").select("id", "n", "keys")
-    single = doubtful.union(sieve.through(marked, "id", bits, wanted=False).select("id", "n", "keys"))
-    lists = single.select("id", "n", F.explode("keys").alias("key"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        ids = cut(ids)
-        by = sieve.of(ids.select(F.shiftright("id", PLACE).alias("d")).distinct()), sieve.of(ids)
-        return docs.mapInArrow(_full(by), "id long, hashes array<long>")
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the paragraphs that a row's list names."""
+    for batch in batches:
+        for part in flat.slices(batch):
+            h, to, _, doc = _parts(*flat.bytes_of(part.column("text")))
+            wanted = part.column("wanted")
+            row = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+            items = wanted.flatten()
+            use = np.searchsorted(doc, row) + items.field("number").to_numpy(zero_copy_only=False)
+            found, head = _sets(h, to, use)
+            off = pa.array(np.append(head, len(found)).astype(np.int32))
+            hashes = pa.ListArray.from_arrays(off, pa.array(flat.signed(found)))
+            yield pa.RecordBatch.from_arrays([items.field("id"), hashes], names=["id", "hashes"])
+
+
+def repeated_paragraphs(keyed: DataFrame) -> DataFrame:
+    """(k_id, k_text, gone): for each document with repeated paragraphs, the numbers of those that go. keyed: k_id, k_text, text."""
+    spark = keyed.sparkSession
+    keyed = keyed.where("k_id is not null and length(text) > 0")
+    marked = keyed.mapInArrow(_band, "k_id long, k_text long, number long, n long, mark long, keys array<long>")
+    marked = cut(marked.withColumn("id", F.monotonically_increasing_id()))
+    place = F.struct("k_id", "k_text", "number")
+    same = marked.groupBy("mark", "n").agg(F.count("*").alias("many"), F.min(place).alias("first"))
+    same = cut(same.where("many > 1").select("mark", "n", "first"))
+    bits = sieve.of(same.select("mark"))
+    alike = sieve.through(marked, "mark", bits).join(same, ["mark", "n"], "left")
+    copy = F.coalesce(place != F.col("first"), F.lit(False))
+    alike = cut(alike.select("k_id", "k_text", "number", "id", "keys", copy.alias("copy")))
+    single = sieve.through(marked, "mark", bits, wanted=False).select("k_id", "k_text", "number", "id", "keys")
+    single = single.union(alike.where("not copy").drop("copy"))
+    lists = single.select("id", F.lit(0).cast("long").alias("own"), F.lit(BANDS).alias("n_keys"), F.explode("keys").alias("key"))
+    sets: list[DataFrame] = []
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """The sets of all paragraphs that can link with any, which are those of the first pairs."""
+        if not sets:
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            named = cut(single.drop("keys").join(ids, "id"))
+            listed = cut(named.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("number", "id")).alias("wanted")))
+            texts = sieve.through(keyed, "k_text", sieve.of(listed.select("k_text")))
+            texts = texts.dropDuplicates(["k_id", "k_text"]).join(listed, ["k_id", "k_text"])
+            sets.extend([cut(texts.mapInArrow(_whole, "id long, hashes array<long>")), named])
+        return sets[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        full = cut(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
-        release(docs.sparkSession)
-        return matched(pairs, full, PERCENT).distinct()
+        full = whole(pairs)
+        release(spark)
+        return matched(pairs, full, PERCENT)
 
     def elements(items: DataFrame) -> DataFrame:
-        return sets_of(items.select("id").distinct()).join(items, "id").select("id", "part", F.explode("hashes").alias("element"))
+        own = sets[0].join(items, "id")
+        return own.select("id", "part", F.lit(0).alias("own"), "hashes")
 
     near = link_components(lists, verify, elements, None, PERCENT)
-    return cut(copies.union(near.select("id")))
+    near = cut(near.union(near.select("component", "component")).distinct().join(sets[1], "id"))
+    first = near.groupBy("component").agg(F.min(place).alias("first"))
+    near = near.join(first, "component").where(place != F.col("first")).select("k_id", "k_text", "number")
+    gone = alike.where("copy").select("k_id", "k_text", "number").union(near)
+    return cut(gone.groupBy("k_id", "k_text").agg(F.collect_set("number").alias("gone")))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +176,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lost = np.zeros(len(buf) + 1, np.int64)
             removed, touched = [], []
             for i, (gone, runs) in enumerate(zip(part.column("gone").to_pylist(), part.column("runs"))):
-                gone = [k for k in gone or () if k < span[i + 1] - span[i]]
-                removed.append(len(gone))
+                removed.append(len(gone or ()))
                 touched.append(bool(gone) or runs.is_valid)
-                for k in gone:
+                for k in gone or ():
                     lost[edges[span[i] + k]] += 1
                     lost[edges[span[i] + k + 1]] -= 1
                 if runs.is_valid:
@@ -178,36 +188,47 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.add.at(lost, np.where(last < at[i + 1], heads[last], off[i + 1]), -1)
             keep = np.cumsum(lost[:-1]) == 0
             words = np.concatenate([[0], np.cumsum(~keep[starts])])[at]
-            kept = [buf[x:y][keep[x:y]].tobytes() if t else None for x, y, t in zip(off[:-1].tolist(), off[1:].tolist(), touched)]
-            texts = pc.if_else(pa.array(touched, pa.bool_()), pa.array(kept, pa.binary()).cast(pa.string()), part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("row"), texts, pa.array(np.diff(np.array(span))), pa.array(removed, pa.int64()), pa.array(np.diff(words))], names=["row", "kept", "n_paragraphs", "n_removed_paragraphs", "n_removed_words"])
+            cuts = zip(off[:-1].tolist(), off[1:].tolist(), touched)
+            kept = pa.array([buf[x:y][keep[x:y]].tobytes() if t else None for x, y, t in cuts], pa.binary()).cast(pa.string())
+            texts = pc.if_else(pa.array(touched, pa.bool_()), kept, part.column("text"))
+            columns = [part.column("row"), texts, pa.array(np.diff(np.array(span))), pa.array(removed, pa.int64()), pa.array(np.diff(words))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "kept", "n_paragraphs", "n_removed_paragraphs", "n_removed_words"])
 
 
 def stripped(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, ...): row (all its columns), kept (the text left), n_paragraphs, n_removed_paragraphs,
-    n_removed_words (in removed paragraphs and passages).
-
-    Of paragraphs that link (100 * |A & B| >= 75 * |A | B| over distinct 5-word shingles, A-Z lower-cased), directly
-    or through others, within a document too, the first stays. Shorter paragraphs than LEAST_WORDS words, and parts of
-    paragraphs, go where they lie in a passage of passages.LENGTH words that stands before.
-    Null and empty texts stay; rows with a null doc_id take no part. Rows that repeat a doc_id are one document,
-    and lose the same paragraphs; rows that repeat its text too lose the same passages.
+    """One row per row of ``docs`` (doc_id, text, ...): row (all its columns), kept (the text left), n_paragraphs,
+    n_removed_paragraphs, n_removed_words (in removed paragraphs and passages).
+
+    Of paragraphs of LEAST_WORDS words that link (100 * |A & B| >= 75 * |A | B| over distinct 5-word shingles, A-Z
+    lower-cased), directly or through others, within a document too, the first stays. Shorter paragraphs, and parts of
+    paragraphs, go where they lie in a passage of passages.LENGTH words that stands before. Null and empty texts stay; rows
+    with a null doc_id take no part. Rows with the same doc_id and text are one document and lose the same; rows that repeat
+    a doc_id with another text are documents of their own. Texts may have any length.
     """
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
-    runs = repeated_passages(base.select(F.col("doc_id").alias("k_id"), "k_text", "text"), split)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keys = F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text")
+    base = docs.select(row, *keys, F.col("text").cast("string").alias("text"))
+    runs = repeated_passages(base.select("k_id", "k_text", "text"), split)
+    release(docs.sparkSession)
+    gone = repeated_paragraphs(base.select("k_id", "k_text", "text"))
     release(docs.sparkSession)
-    gone = repeated_paragraphs(base.select("doc_id", "text"))
-    gone = cut(gone.groupBy(F.shiftright("id", PLACE).alias("g_id")).agg(F.collect_set(F.col("id").bitwiseAND((1 << PLACE) - 1)).alias("gone")))
-    bits = sieve.of(gone.select("g_id").union(runs.select("k_id")).distinct())
-    touched = sieve.through(base, "doc_id", bits).join(gone, F.col("doc_id") == F.col("g_id"), "left")
-    touched = touched.join(runs.withColumnsRenamed({"k_id": "r_id", "k_text": "r_text"}), (F.col("doc_id") == F.col("r_id")) & (F.col("k_text") == F.col("r_text")), "left").select("row", "text", "gone", "runs")
-    others = sieve.through(base, "doc_id", bits, wanted=False).select("row", "text", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<int>").alias("runs"))
+    lost = cut(gone.join(runs, ["k_id", "k_text"], "full"))
+    bits = sieve.of(lost.select("k_text"))
+    touched = sieve.through(base, "k_text", bits).join(lost, ["k_id", "k_text"], "left").select("row", "text", "gone", "runs")
+    none = F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<int>").alias("runs")
+    others = sieve.through(base, "k_text", bits, wanted=False).select("row", "text", *none)
     kind = base.schema["row"].dataType.simpleString()
-    return touched.union(others).mapInArrow(_strip, f"row {kind}, kept string, n_paragraphs long, n_removed_paragraphs long, n_removed_words long")
+    return touched.union(others).mapInArrow(
+        _strip, f"row {kind}, kept string, n_paragraphs long, n_removed_paragraphs long, n_removed_words long"
+    )
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_removed_paragraphs, n_removed_words, n_bytes, n_removed_bytes, kept_sha256 for each row of docs (doc_id, text)."""
+    """doc_id, n_paragraphs, n_removed_paragraphs, n_removed_words, n_bytes, n_removed_bytes, kept_sha256 for each row of
+    docs (doc_id, text)."""
     out = stripped(docs.select("doc_id", "text"))
-    before, after = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long"), F.coalesce(F.octet_length("kept"), F.lit(0)).cast("long")
-    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_paragraphs", "n_removed_paragraphs", "n_removed_words", before.alias("n_bytes"), (before - after).alias("n_removed_bytes"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    before, after = (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("row.text", "kept"))
+    return out.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "n_paragraphs", "n_removed_paragraphs", "n_removed_words",
+        before.alias("n_bytes"), (before - after).alias("n_removed_bytes"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )

@@ -21,8 +21,6 @@ from assayer.llm.lineage import cut, release
 
 LENGTH = 50
 SEED = 25
-#: Bits of a word's number in a window's place, which is doc_id << PLACE | number.
-PLACE = 24
 
 
 def _runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -50,8 +48,7 @@ def _windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     first = np.arange(len(h) - LENGTH + 1)
     doc = np.searchsorted(at, first, "right") - 1
     inside = first + LENGTH <= at[doc + 1]
-    least = np.lib.stride_tricks.sliding_window_view(seeds, LENGTH - SEED + 1)[inside].argmin(1)
-    return first[inside], doc[inside], first[inside] + least, seeds
+    return first[inside], doc[inside], flat.least_in_windows(seeds, LENGTH - SEED + 1)[inside], seeds
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +77,10 @@ def _whole(split):
                 first, doc = first[keep], doc[keep]
                 edges, _ = split(buf, off)
                 heads = np.searchsorted(starts, edges)[np.searchsorted(edges, starts[first], "right") - 1]
-                place = part.column("k_id").to_numpy()[doc] << PLACE | first - at[doc]
-                columns = [pa.array(place), part.column("k_text").take(pa.array(doc)), pa.array((heads - at[doc]).astype(np.int32)), pa.array(flat.signed(_runs(h, LENGTH)[first]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["place", "k_text", "head", "h"])
+                pick = pa.array(doc)
+                numbers = [pa.array((x - at[doc]).astype(np.int32)) for x in (first, heads)]
+                columns = [part.column("k_id").take(pick), part.column("k_text").take(pick), *numbers, pa.array(flat.signed(_runs(h, LENGTH)[first]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k_id", "k_text", "at", "head", "h"])
 
     return run
 
@@ -99,13 +97,14 @@ def repeated_passages(keyed: DataFrame, split) -> DataFrame:
     many = cut(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     spots = sieve.through(seeds, "h", sieve.of(many)).join(many, "h", "left_semi")
     lists = cut(spots.groupBy("k_id", "k_text").agg(F.collect_set("at").alias("wanted")))
-    texts = sieve.through(keyed, "k_text", sieve.of(lists.select("k_text").distinct()))
-    windows = cut(texts.join(lists, ["k_id", "k_text"]).mapInArrow(_whole(split), "place long, k_text long, head int, h long"))
-    del seeds, many, spots, lists, texts
+    texts = sieve.through(keyed, "k_text", sieve.of(lists.select("k_text")))
+    found = texts.join(lists, ["k_id", "k_text"]).mapInArrow(_whole(split), "k_id long, k_text long, at int, head int, h long")
+    windows = cut(found)
+    del seeds, many, spots, lists, texts, found
     release(keyed.sparkSession)
-    first = cut(windows.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("h", "first"))
-    number = lambda c: F.col(c).bitwiseAND((1 << PLACE) - 1).cast("int")
-    same = F.shiftright("place", PLACE) == F.shiftright("first", PLACE)
-    later = ~same | ((number("place") >= number("first") + LENGTH) & (number("first") < F.col("head")))
-    again = windows.join(first, "h").where(later).select(F.shiftright("place", PLACE).alias("k_id"), "k_text", number("place").alias("at"))
+    first = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k_id", "k_text", "at")).alias("first"))
+    first = first.where("n > 1").select("h", "first")
+    same = (F.col("k_id") == F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text"))
+    later = ~same | ((F.col("at") >= F.col("first.at") + LENGTH) & (F.col("first.at") < F.col("head")))
+    again = windows.join(first, "h").where(later).select("k_id", "k_text", "at")
     return cut(again.groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs")))

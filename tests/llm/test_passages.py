@@ -13,7 +13,7 @@ def brute(rows, length=50):
     for d, t in sorted(rows):
         found = list(WORD.finditer(t))
         words = [lower(m[0]) for m in found]
-        end = [k for k, m in enumerate(found) if k + 1 == len(found) or m[0][-1] in ".!?" or "\n" in t[m.end() : found[k + 1].start()]]
+        end = [k for k, m in enumerate(found) if k + 1 == len(found) or "\n" in t[m.end() : found[k + 1].start()]]
         part, gone = [sum(e < k for e in end) for k in range(len(words))], set()
         for i in range(len(words) - length + 1):
             at = seen.setdefault(tuple(words[i : i + length]), (d, i, part[i]))
