@@ -3,9 +3,11 @@
 Vectors of one label are compared by cosine in double precision. Equal vectors are one class. A
 first neighbour graph comes from leaves of random hyperplane trees; rounds of local joins then try
 each vector's neighbours, and those that have it as neighbour, against each other, and keep the
-best ``K`` of every vector, until few lists change. A list that is full of links is saturated: it is enlarged to its whole
-component, in blocks. An audit tries vectors against all, more of them until enough have links; while
-its recall is below ``RECALL``, more trees and rounds follow, and in the end an error. Edges at the threshold are kept.
+best ``K`` of every vector, until few lists change. A list of ``K`` links is saturated: it is enlarged, to ``WIDE`` links at
+first and then to its whole component, whose links are counted by cells of vectors at like angles from its centre:
+the triangle inequality settles most pairs of cells, and only the others are multiplied. An audit tries vectors
+against all, more of them until enough have links; while its recall is below ``RECALL``, more trees and rounds follow, and
+in the end an error. Edges at the threshold are kept.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from assayer.llm.graph import components
 from assayer.llm.lineage import cut, release, tasks
 
 THRESHOLD = 0.93
 K = 10
+#: Links that the list of a vector with more than K keeps.
+WIDE = 4 * K
 #: Trees of an attempt, and one more for each level of depth.
 TREES = 4
 #: Rounds go on until a smaller share of the lists' entries is new.
@@ -111,9 +114,10 @@ def _local(table: pa.Table) -> pa.Table:
         own, who = unit[lo:hi], ids[lo:hi]
         sims = own @ own.T
         sims[who[:, None] == who[None, :]] = -2
-        keep = sims >= THRESHOLD
-        i, j = _best(sims, 2)
-        keep[i, j] |= sims[i, j] > -1.5
+        keep = np.zeros(sims.shape, bool)
+        for k, least in ((2, -1.5), (K, THRESHOLD)):
+            i, j = _best(sims, k)
+            keep[i, j] |= sims[i, j] >= least
         i, j = np.nonzero(keep)
         a.append(who[i])
         b.append(who[j])
@@ -122,10 +126,10 @@ def _local(table: pa.Table) -> pa.Table:
 
 
 def _top(edges: DataFrame) -> DataFrame:
-    """The best K of each list and all links. edges: a, b, sim, old (1 for those that the lists had)."""
+    """The best K of each list, and of links the best WIDE. edges: a, b, sim, old (1 for those that the lists had)."""
     edges = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     order = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    return edges.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= K) | (F.col("sim") >= THRESHOLD))
+    return edges.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= K) | (F.col("sim") >= THRESHOLD) & (F.col("rank") <= WIDE))
 
 
 def _with(edges: DataFrame | None, grown: DataFrame) -> DataFrame:
@@ -196,21 +200,97 @@ def _truth(items: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         n *= 8
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each component's unit vectors in a batch."""
+    for batch in batches:
+        part, dim = batch.column("part").to_numpy(), batch.column("dim").to_numpy()
+        for d in np.unique(dim).tolist():
+            own = batch.filter(pa.array(dim == d))
+            parts, at = np.unique(part[dim == d], return_inverse=True)
+            total = np.zeros((len(parts), d))
+            np.add.at(total, at, _unit(own.column("v"), own.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["part", "c"])
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    total = np.array(table.column("c").to_pylist()).sum(0)
+    return pa.table([table.column("part").slice(0, 1), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part", "c"])
+
+
+def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector's angle to its component's centre."""
+    for batch in batches:
+        dim, angle = batch.column("dim").to_numpy(), np.zeros(batch.num_rows)
+        for d in np.unique(dim).tolist():
+            own = batch.filter(pa.array(dim == d))
+            centre = own.column("c").flatten().to_numpy().reshape(own.num_rows, d)
+            size = np.sqrt((centre * centre).sum(1))
+            cosine = (_unit(own.column("v"), own.num_rows) * centre).sum(1) / np.where(size > 0, size, 1)
+            angle[dim == d] = np.arccos(np.clip(cosine, -1, 1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "id", "many", "v")), pa.array(angle)], names=["part", "id", "many", "v", "angle"])
+
+
 def _blocks(table: pa.Table) -> pa.Table:
     """Links between the members of two blocks of one component (or of one block), as counts."""
     side = table.column("side").to_numpy()
     x, y = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-    if not y.num_rows:
+    own = table.column("own")[0].as_py()
+    if own:
         y = x
-    ux, uy = (_unit(t.column("v").combine_chunks(), t.num_rows) if t.num_rows else np.empty((0, 1)) for t in (x, y))
+    if not x.num_rows or not y.num_rows:
+        return pa.table([pa.array([], pa.int64())] * 2, names=["id", "n"])
+    ux, uy = (_unit(t.column("v").combine_chunks(), t.num_rows) for t in (x, y))
     near = (ux @ uy.T >= THRESHOLD) & (x.column("id").to_numpy()[:, None] != y.column("id").to_numpy()[None, :])
     ids, n = [x.column("id").to_numpy()], [near @ y.column("many").to_numpy()]
-    if y is not x:
+    if not own:
         ids.append(y.column("id").to_numpy())
         n.append(near.T @ x.column("many").to_numpy())
     return pa.table([pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64))], names=["id", "n"])
 
 
+def links_within(members: DataFrame) -> DataFrame:
+    """(id, whole): how many vectors of its component, with ``many`` each, a vector links with, itself not counted.
+
+    members: part, id, many, dim, v. Two vectors at angles r and s from the centre are at an angle from |r - s| to r + s
+    from each other; what that leaves open is multiplied, in pairs of blocks.
+    """
+    reach, margin = float(np.arccos(THRESHOLD)), 1e-7
+    centre = members.mapInArrow(_sums, "part long, c array<double>").groupBy("part").applyInArrow(_sum, "part long, c array<double>")
+    kind = members.schema["v"].dataType.simpleString()
+    placed = members.join(centre, "part").mapInArrow(_angles, f"part long, id long, many long, v {kind}, angle double")
+    # The core lies within half the reach of the centre, so that all of it links; around it are shells.
+    core = reach / 2 - margin
+    shell = F.when(F.col("angle") <= core, 0).otherwise(1 + F.floor((F.col("angle") - core) / (reach / 8))).cast("int")
+    placed = cut(placed.withColumn("shell", shell))
+    shells = placed.groupBy("part", "shell").agg(
+        F.sum("many").alias("vectors"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("angle").alias("low"), F.max("angle").alias("high")
+    )
+    shells = cut(shells)
+    other = shells.select("part", *(F.col(c).alias(f"{c}_b") for c in ("shell", "vectors", "blocks", "low", "high")))
+    pairs = shells.join(other, "part").withColumn("all", F.col("high") + F.col("high_b") <= reach - margin)
+    pairs = pairs.where(F.greatest(F.col("low") - F.col("high_b"), F.col("low_b") - F.col("high")) <= reach + margin)
+    sure = pairs.where("all").groupBy("part", "shell").agg(F.sum("vectors_b").alias("sure"), F.max(F.col("shell") == F.col("shell_b")).alias("with_own"))
+    sure = placed.join(sure, ["part", "shell"]).select("id", (F.col("sure") - F.when(F.col("with_own"), F.col("many")).otherwise(0)).alias("n"))
+
+    open_ = cut(pairs.where("not all and shell <= shell_b").select("part", "shell", "shell_b", "blocks", "blocks_b"))
+    dealt = placed.join(shells.select("part", "shell", F.col("blocks").alias("own_blocks")), ["part", "shell"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("own_blocks")).cast("int")).select("part", "shell", "block", "id", "many", "v")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.join(open_, ["part", "shell"]).withColumn("far", each("blocks_b"))
+    same = F.col("shell") == F.col("shell_b")
+    turned = same & (F.col("block") > F.col("far"))
+    left = left.select(
+        "part", "shell", "shell_b", F.when(turned, F.col("far")).otherwise(F.col("block")).alias("x"),
+        F.when(turned, F.col("block")).otherwise(F.col("far")).alias("y"), turned.cast("int").alias("side"), "id", "many", "v",
+    )
+    over = open_.where("shell < shell_b").select("part", F.col("shell").alias("s"), F.col("shell_b").alias("shell"), "blocks")
+    right = dealt.join(over, ["part", "shell"]).withColumn("far", each("blocks"))
+    right = right.select("part", F.col("s").alias("shell"), F.col("shell").alias("shell_b"), F.col("far").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "id", "many", "v")
+    border = left.union(right).withColumn("own", (F.col("shell") == F.col("shell_b")) & (F.col("x") == F.col("y")))
+    border = border.groupBy("part", "shell", "shell_b", "x", "y").applyInArrow(_blocks, "id long, n long")
+    return sure.union(border).groupBy("id").agg(F.sum("n").alias("whole"))
+
+
 def neighbour_links(items: DataFrame) -> DataFrame:
     """The neighbour graph's edges a, b, sim, rank; those at the threshold are links. items: id, place, dim, bits, v.
 
@@ -244,36 +324,37 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine is 0.93 or more.
     Null, empty and zero vectors and those with null or non-finite components link with nothing: 0 links, a component of
-    their own. Rows that repeat a vec_id count as vectors of their own in n_links. A null vec_id has no links, a null
-    component, and is kept. Other columns are not read.
+    their own. Rows that repeat a vec_id are vectors of their own, each with its own links; a component's id is the smallest
+    vec_id in it. A null vec_id has no links, a null component, and is kept. Other columns are not read.
     """
     vectors = vectors.select("vec_id", "embedding", "label")
-    own = usable(vectors)
-    marked = cut(own.withColumn("mark", F.xxhash64("label", "dim", "v")).withColumn("mark2", F.hash("v", "label")))
-    classes = cut(marked.groupBy("label", "dim", "mark", "mark2").agg(F.min("id").alias("rep"), F.count("*").alias("many")))
-    size = cut(classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    key = ["label", "dim", "mark", "mark2"]
+    marked = cut(usable(vectors).withColumn("mark", F.xxhash64("label", "dim", "v")).withColumn("mark2", F.hash("v", "label")))
+    classes = marked.groupBy(*key).agg(F.min("id").alias("low"), F.count("*").alias("many"), F.first("v").alias("v"))
+    # A class has a number of its own: vec_ids may repeat.
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    size = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int")
-    whole = marked.join(classes, ["label", "dim", "mark", "mark2"]).where("id = rep").dropDuplicates(["id"])
-    items = whole.join(size, ["label", "dim"]).select("id", F.xxhash64("label", "dim").alias("place"), "dim", F.least(bits, F.lit(24)).alias("bits"), "many", "v")
-    items = cut(items)
+    items = classes.join(size, ["label", "dim"])
+    items = cut(items.select("id", F.xxhash64("label", "dim").alias("place"), "dim", F.least(bits, F.lit(24)).alias("bits"), "many", "low", "v"))
     edges = neighbour_links(items)
     links = cut(edges.where(F.col("sim") >= THRESHOLD).select("a", "b"))
-    parts = components(links)
+    parts = items.select("id", "low", "many", "dim", "v").join(components(links), "id", "left")
+    parts = cut(parts.withColumn("part", F.coalesce("component", "id")).drop("component"))
 
-    direct = links.join(items.select(F.col("id").alias("b"), "many"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("many").alias("n"), F.count("*").alias("listed"))
+    other = parts.select(F.col("id").alias("b"), "many")
+    direct = links.join(other, "b").groupBy(F.col("a").alias("id")).agg(F.sum("many").alias("n"), F.count("*").alias("listed"))
     direct = cut(direct)
-    placed = cut(items.select("id", "many", "v").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).select("id", "many", "v", "part"))
-    full = direct.where(F.col("listed") >= K).join(placed.select("id", "part"), "id").select("part").distinct()
-    open_ = cut(placed.join(cut(full), "part", "left_semi"))
-    blocks = cut(open_.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = open_.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "many", "v")
-    counted = dealt.groupBy("part", "x", "y").applyInArrow(_blocks, "id long, n long").groupBy("id").agg(F.sum("n").alias("whole"))
-
-    tally = items.select("id", "many").join(direct, "id", "left").join(counted, "id", "left").join(parts, "id", "left")
-    tally = cut(tally.select(F.col("id").alias("rep"), (F.coalesce("whole", "n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    named = classes.join(tally, "rep").select("label", "dim", "mark", "mark2", "n_links", "component_id")
-    linked = marked.select("id", "label", "dim", "mark", "mark2").join(cut(named), ["label", "dim", "mark", "mark2"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).exceptAll(linked.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    full = parts.select("id", "part").join(direct.where(F.col("listed") >= K).select("id"), "id").select("part").distinct()
+    counted = links_within(cut(parts.join(full, "part", "left_semi").select("part", "id", "many", "dim", "v")))
+
+    first = parts.groupBy("part").agg(F.min("low").alias("component_id"))
+    tally = parts.select("id", "many", "part").join(direct, "id", "left").join(counted, "id", "left").join(first, "part")
+    n_links = F.coalesce("whole", "n", F.lit(0)) + F.col("many") - 1
+    named = classes.select("id", *key).join(tally.select("id", n_links.alias("n_links"), "component_id"), "id").drop("id")
+    linked = marked.select("id", *key).join(cut(named), key).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    vec_id = F.col("vec_id").cast("long").alias("vec_id")
+    alone = vectors.select(vec_id).exceptAll(linked.select("vec_id"))
+    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return linked.union(alone).select("vec_id", "n_links", "component_id", kept)
