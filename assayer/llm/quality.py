@@ -23,15 +23,15 @@ WORDS, SHAPES = 1 << 18, 1 << 10
 #: Labelled rows that the model is fitted on at most: those with the smallest hash of doc_id. This bounds the
 #: driver's part; every document is scored.
 FIT_ROWS = 12_000
-EPOCHS = 12
+EPOCHS = 25
 BATCH = 256
 RATE = 0.3
-SHRINK = 3e-4  # L1, by which buckets without evidence stay at 0
+SHRINK = 1e-4  # L1, by which buckets without evidence stay at 0
 #: Buckets in fewer of the fitted rows take no part.
 LEAST_ROWS = 8
 GRADES = 3
 SELECT = 2
-MIN_TAIL = 0.3
+MIN_TAIL = 0.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -83,8 +83,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
     def score(self, bucket: np.ndarray, value: np.ndarray, off: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.weights[bucket] * value)])
-        return total[off[1:]] - total[off[:-1]]
+        """Each text's sum by itself, so that it doesn't depend on the texts beside it."""
+        return np.bincount(np.repeat(np.arange(len(off) - 1), np.diff(off)), self.weights[bucket] * value, len(off) - 1)
 
     def grades(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and P(grade >= SELECT)."""
@@ -92,6 +92,18 @@ class Model:
         return (1 - low).sum(1), 1 - low[:, SELECT - 1]
 
 
+def slopes(cuts: np.ndarray, score: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the sum of -log P(grade) by each score and by each threshold."""
+    n = len(grade)
+    low = np.concatenate([np.zeros((n, 1)), Model(np.empty(0), cuts).at_most(score), np.ones((n, 1))], 1)
+    slope, at = low * (1 - low), np.arange(n)
+    p = np.maximum(low[at, grade + 1] - low[at, grade], 1e-9)
+    d_cuts = np.zeros(len(cuts) + 2)
+    np.add.at(d_cuts, grade + 1, -slope[at, grade + 1] / p)
+    np.add.at(d_cuts, grade, slope[at, grade] / p)
+    return (slope[at, grade + 1] - slope[at, grade]) / p, d_cuts[1:-1]
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, grades: int = GRADES, epochs: int = EPOCHS) -> Model:
     """rows: (buckets, values) of each example. Batches in a fixed order, adaptive steps, soft thresholding by SHRINK."""
     w, squares = np.zeros(WORDS + SHAPES), np.full(WORDS + SHAPES, 1e-4)
@@ -107,23 +119,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, grades: in
             pick = order[i : i + BATCH]
             bucket, value = np.concatenate([rows[j][0] for j in pick]), np.concatenate([rows[j][1] for j in pick])
             off = np.concatenate([[0], np.cumsum([len(rows[j][0]) for j in pick])])
-            y = grade[pick]
-            model = Model(w, cuts)
-            low = np.concatenate([np.zeros((len(pick), 1)), model.at_most(model.score(bucket, value, off)), np.ones((len(pick), 1))], 1)
-            slope = low * (1 - low)
-            at = np.arange(len(pick))
-            p = np.maximum(low[at, y + 1] - low[at, y], 1e-9)
-            d_score = (slope[at, y + 1] - slope[at, y]) / p  # of -log p
-            d_cuts = np.zeros(grades + 1)
-            np.add.at(d_cuts, y + 1, -slope[at, y + 1] / p)
-            np.add.at(d_cuts, y, slope[at, y] / p)
+            d_score, d_cuts = slopes(cuts, Model(w, cuts).score(bucket, value, off), grade[pick])
             g = np.bincount(bucket, np.repeat(d_score, np.diff(off)) * value, WORDS + SHAPES) / len(pick)
             touched = np.flatnonzero(g)
             squares[touched] += g[touched] ** 2
             step = RATE / np.sqrt(squares[touched])
             w[touched] -= step * g[touched]
             w = np.sign(w) * np.maximum(np.abs(w) - RATE * SHRINK / np.sqrt(squares), 0)
-            d = d_cuts[1:-1] / len(pick)
+            d = d_cuts / len(pick)
             cut_squares += d**2
             cuts = np.maximum.accumulate(cuts - RATE * d / np.sqrt(cut_squares))
     return Model(w, cuts)
@@ -151,7 +154,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model |
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.join(sample, "doc_id").select("doc_id", "text", "grade").orderBy("doc_id").limit(rows).mapInArrow(_features, "grade int, bucket array<int>, value array<float>").toArrow()
+    found = docs.join(sample, "doc_id").select("doc_id", "text", "grade").orderBy("doc_id", F.xxhash64("text"), "text").limit(rows).mapInArrow(_features, "grade int, bucket array<int>, value array<float>").toArrow()
     grade = found.column("grade").to_numpy().astype(np.int64)
     if len(set(grade.tolist())) < 2:
         return None
