@@ -22,6 +22,8 @@ from assayer.llm.lineage import cut, release
 #: A chunk ends here at the latest: a run of one line repeated has no boundary of its own.
 MOST_LINES = 64
 LEAST_LINES = 2
+#: A chunk with more copies than this, and than the HOT_KEYS-th part of all chunks, is a hot one.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def chunks(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = head[row] + items.field("chunk").to_numpy(zero_copy_only=False)
             pick = pa.array(row)
             own = pa.array([buf[x:y].tobytes() for x, y in zip(a[at], b[at])], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("k_id").take(pick), part.column("k_text").take(pick), items.field("chunk"), items.field("h1"), items.field("h2"), own], names=["k_id", "k_text", "chunk", "h1", "h2", "own"])
+            yield pa.RecordBatch.from_arrays([part.column("k_id").take(pick), part.column("k_text").take(pick), *(items.field(c) for c in ("chunk", "h1", "h2", "part")), own], names=["k_id", "k_text", "chunk", "h1", "h2", "part", "own"])
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,18 +112,29 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     """(k_id, k_text, gone): for each document with repeated chunks, the numbers of those that go. keyed: k_id, k_text, text."""
     keyed = keyed.where("k_id is not null and length(text) > 0")
     found = cut(keyed.mapInArrow(_digests, "k_id long, k_text long, chunk long, h1 long, h2 long"))
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k_id", "chunk", "k_text")).alias("first")).where("n > 1").drop("n")
-    first = cut(first)
-    again = cut(found.join(first, ["h1", "h2"]).where(F.struct("k_id", "chunk", "k_text") != F.col("first")).select("k_id", "k_text", "chunk", "h1", "h2").distinct())
-    leads = first.select("first.k_id", "first.k_text", "first.chunk", "h1", "h2").join(again.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    place = F.struct("k_id", "chunk", "k_text")
+    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    first = cut(first.where("n > 1"))
+    # Copies of a chunk that has very many are dealt over tasks. There are HOT_KEYS such chunks at most, as each
+    # has more than its share of all rows, so their list can go to all tasks.
+    least = max(HOT_ROWS, found.count() // HOT_KEYS)
+    hot = F.broadcast(first.where(F.col("n") > least).select("h1", "h2", F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    salted = found.join(hot, ["h1", "h2"], "left")
+    salted = salted.withColumn("part", F.coalesce(F.pmod(F.xxhash64("k_id", "k_text", "chunk"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    parts = F.greatest(F.lit(1), F.ceil(F.when(F.col("n") > least, F.col("n") / least))).cast("int")
+    spread = first.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    again = salted.join(spread, ["h1", "h2", "part"]).where(place != F.col("first"))
+    again = cut(again.select("k_id", "k_text", "chunk", "h1", "h2", "part").distinct())
+    lead_of = spread.join(again.select("h1", "h2", "part").distinct(), ["h1", "h2", "part"], "left_semi")
+    leads = lead_of.select("first.k_id", "first.k_text", "first.chunk", "h1", "h2", "part")
 
     def content(items: DataFrame) -> DataFrame:
-        lists = cut(items.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("chunk", "h1", "h2")).alias("wanted")))
-        texts = sieve.through(keyed, "k_text", sieve.of(lists.select("k_text").distinct()))
-        return texts.join(lists, ["k_id", "k_text"]).mapInArrow(_bytes, "k_id long, k_text long, chunk long, h1 long, h2 long, own binary")
+        lists = cut(items.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("chunk", "h1", "h2", "part")).alias("wanted")))
+        texts = sieve.through(keyed, "k_text", sieve.of(lists.select("k_text")))
+        return texts.join(lists, ["k_id", "k_text"]).mapInArrow(_bytes, "k_id long, k_text long, chunk long, h1 long, h2 long, part int, own binary")
 
-    lead = cut(content(leads).select("h1", "h2", F.col("own").alias("lead")))
-    same = content(again).join(lead, ["h1", "h2"]).where("own = lead").select("k_id", "k_text", "chunk").distinct()
+    lead = content(leads).select("h1", "h2", "part", F.col("own").alias("lead")).dropDuplicates(["h1", "h2", "part"])
+    same = content(again).join(lead, ["h1", "h2", "part"]).where("own = lead").select("k_id", "k_text", "chunk").distinct()
     gone = cut(same.groupBy("k_id", "k_text").agg(F.collect_list("chunk").alias("gone")))
     release(keyed.sparkSession)
     return gone
@@ -138,7 +151,7 @@ def stripped(docs: DataFrame) -> DataFrame:
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
     gone = repeated_chunks(base.select("k_id", "k_text", "text"))
     kind = base.schema["row"].dataType.simpleString()
-    bits = sieve.of(gone.select("k_text").distinct())
+    bits = sieve.of(gone.select("k_text"))
     touched = sieve.through(base, "k_text", bits).join(gone, ["k_id", "k_text"], "left").select("row", "text", "gone")
     others = sieve.through(base, "k_text", bits, wanted=False).select("row", "text", F.lit(None).cast("array<long>").alias("gone"))
     return touched.union(others).mapInArrow(_strip, f"row {kind}, kept string, n_chunks long, n_removed_chunks long")
