@@ -12,7 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.measured(table(spark, sf_dir, "documents")))
+    import public_tokenizers
+
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,8 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return rules.quality_rules(docs, rules.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 
 from assayer.llm import flat, induced, lines, packing, pieces, quality, rules, suffixes, tokens
 
@@ -16,6 +17,14 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.model(MODEL)
+
+
 # ---- packing
 
 def test_best_fit_is_tightest():
@@ -33,23 +42,35 @@ def test_best_fit_is_tightest():
             bins[b] = left - size, have | mask
 
 
-def test_packed_documents(docs, rows, no_docs, odd_docs):
-    out = packing.packed(packing.measured(docs), capacity=64, shard=50).collect()
-    words = {i: len(WORD.findall(t or "")) for i, t in rows}
+def test_packed_documents(docs, rows, no_docs, odd_docs, model):
+    out = packing.packed_documents(docs, MODEL, capacity=64, shard=50).collect()
+    want = {i: model.library.encode(t, add_eos=True) if t else [] for i, t in rows}
     source, content = {r.doc_id: r.source for r in docs.collect()}, dict(rows)
-    got, bins = Counter(), {}
-    for r in out:
-        got[r.doc_id] += r.n_words
-        if r.n_words:
+    got, bins = {}, {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.piece)):
+        assert r.start == len(got.setdefault(r.doc_id, [])) and r.n_tokens == len(r.ids) and (r.bin_id is None) == (r.n_tokens == 0)
+        got[r.doc_id] += r.ids
+        if r.n_tokens:
             bins.setdefault(r.bin_id, []).append(r)
-    assert got == Counter(words) | Counter({i: 0 for i in words}) and set(got) == set(words)
+    assert got == want
     for own in bins.values():
         own.sort(key=lambda r: r.bin_start)
-        assert sum(r.n_words for r in own) <= 64 and all(a.bin_start + a.n_words == b.bin_start for a, b in zip(own, own[1:]))
+        assert sum(r.n_tokens for r in own) <= 64 and all(a.bin_start + a.n_tokens == b.bin_start for a, b in zip(own, own[1:]))
         named = [source[r.doc_id] for r in own if source[r.doc_id] is not None]
         assert len(named) == len(set(named)) and len({content[r.doc_id] for r in own}) == len(own)
-    assert packing.packed(packing.measured(no_docs)).count() == 0
-    assert packing.packed(packing.measured(odd_docs)).count() == 6
+        assert len(own) == 1 or own[0].bin_id >= 0
+    again = packing.packed_documents(docs.repartition(5), MODEL, capacity=64, shard=50)
+    assert {(r.doc_id, r.piece, r.bin_id, r.bin_start) for r in again.collect()} == {(r.doc_id, r.piece, r.bin_id, r.bin_start) for r in out}
+    assert packing.packed_documents(no_docs, MODEL).count() == 0
+    assert packing.packed_documents(odd_docs, MODEL).select("doc_id", "piece").count() == 6
+
+
+def test_bins_are_full(spark):
+    rng = random.Random(9)
+    texts = [(k, "word " * rng.randint(1, 300), f"s{k % 97}") for k in range(3000)]
+    out = packing.packed_documents(spark.createDataFrame(texts, "doc_id long, text string, source string"), MODEL, capacity=512, shard=1000)
+    n, bins = out.selectExpr("sum(n_tokens)", "count(distinct bin_id)").first()
+    assert n >= 0.97 * 512 * bins
 
 
 # ---- quality
@@ -74,6 +95,33 @@ def test_classifier_on_held_out_rows():
     assert [expected[y[600:] == k].mean() for k in range(3)] == sorted(expected[y[600:] == k].mean() for k in range(3))
 
 
+def test_slopes_are_those_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    cuts, score, y = np.array([-0.7, 0.9]), rng.standard_normal(30) * 2, rng.integers(0, 3, 30)
+
+    def loss(cuts, score):  # -log of differences of logistic functions, as the model is defined
+        at_most = lambda k: 0.0 if k < 0 else 1.0 if k == 2 else 1 / (1 + np.exp(score_i - cuts[k]))
+        total = 0.0
+        for score_i, g in zip(score, y):
+            total -= np.log(at_most(g) - at_most(g - 1))
+        return total
+
+    d_score, d_cuts = quality.slopes(cuts, score, y)
+    step = 1e-6
+    for k in range(30):
+        e = np.eye(30)[k] * step
+        assert abs((loss(cuts, score + e) - loss(cuts, score - e)) / (2 * step) - d_score[k]) < 1e-6
+    for k in range(2):
+        e = np.eye(2)[k] * step
+        assert abs((loss(cuts + e, score) - loss(cuts - e, score)) / (2 * step) - d_cuts[k]) < 1e-5
+
+
+def test_scores_do_not_depend_on_the_partitions(docs, spark):
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 > 0 as int) as quality", "cast(doc_id % 5 = 0 as int) as toxic")
+    one, two = (sorted(tuple(r) for r in quality.classify(d, labels).collect()) for d in (docs, docs.repartition(7)))
+    assert one == two
+
+
 def test_classifier_odd_cases(spark, docs, no_docs, odd_docs):
     labels = spark.createDataFrame([(r.doc_id, int(r.doc_id % 2), 0) for r in docs.collect()] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs, labels).collect()
@@ -101,13 +149,41 @@ def brute_rules(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)
 
 
-def test_rules(docs, rows, no_docs, odd_docs):
+def brute_kept(t, limits):
+    """The bands by the text of their rule."""
+    size = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+    data, found = (t or "").encode(), [None]
+    for least, greatest, start, stop in [(*b, a, z) for b, a, z in zip(limits.bands, rules.FROM, (*rules.FROM[1:], 1 << 60))]:
+        if start <= len(data) < stop:
+            ratio = len(data) / size(data)
+            found = ["incompressible" if ratio < least else "repetitive" if ratio > greatest else None]
+    full = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) >= 4096 else []
+    if full and len(full[-1]) < 4096:
+        full[-1] = data[-4096:]
+    out = sum(not limits.chunk[0] <= 4096 / size(c) <= limits.chunk[1] for c in full)
+    return found[0], len(full), out, found[0] is None and 4 * out <= len(full)
+
+
+def test_rules(docs, rows, no_docs, odd_docs, spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 999)) for _ in range(3000))
+    noise = " ".join("".join(chr(rng.randint(0x21, 0x2FF)) for _ in range(9)) for _ in range(900))
+    rows = rows + [(10**6, long), (10**6 + 1, long[:9000] + noise[:9000]), (10**6 + 2, noise), (10**6 + 3, "ab cd ef gh ij kl mn\n" * 900)]
     content = dict(rows)
-    for r in rules.quality_rules(docs).collect():
-        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
-        assert got == brute_rules(content[r.doc_id])
-        assert r.base_failed == (got[0] < 10 or 100 * got[4] > 20 * got[0]) and not (r.base_failed and r.kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = df.selectExpr("doc_id", "cast(doc_id % 4 > 0 as int) as quality", "0 as toxic")
+    sides = set()
+    for limits in (rules.Limits(), rules.fitted(df, labels), rules.Limits(((1.5, 2.0),) * 9, (1.9, 2.5))):
+        for r in rules.quality_rules(df, limits).collect():
+            got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+            assert got == brute_rules(content[r.doc_id])
+            assert r.base_failed == (got[0] < 10 or 100 * got[4] > 20 * got[0])
+            side, many, bad, fine = brute_kept(content[r.doc_id], limits)
+            assert (r.side, r.n_chunks, r.n_bad_chunks, r.kept) == (side, many, bad, fine and not r.base_failed)
+            sides.add((r.side, r.base_failed))
+    assert {("incompressible", False), ("repetitive", False), (None, False)} <= sides
     assert rules.quality_rules(no_docs).count() == 0 and rules.quality_rules(odd_docs).count() == 6
+    assert rules.fitted(no_docs, labels) == rules.fitted(docs, labels.limit(0)) == rules.Limits()
 
 
 def test_rules_on_random_characters():
@@ -115,16 +191,12 @@ def test_rules_on_random_characters():
     texts = ["".join(rng.choice("ab \n\té|") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     c = rules.counts(*flat.bytes_of(pa.array(texts)))
     assert list(zip(*(x.tolist() for x in c.values()))) == [brute_rules(t) for t in texts]
-    assert rules.in_band(100, 99.0) and not rules.in_band(5000, 20.0) and not rules.in_band(5000, 1.0)
+    own = rules.Limits()
+    assert own.side(100, 99.0) is None and own.side(5000, 20.0) == "repetitive" and own.side(5000, 1.0) == "incompressible"
 
 
 # ---- pieces
 
-@pytest.fixture(scope="module")
-def model():
-    return pieces.model(public_tokenizers.path("piece_bpe_32k.model"))
-
-
 def check_pieces(model, texts):
     ids, off = model.encode(pa.array(texts, pa.string()))
     decoded, decimal = model.decode(ids, off), model.decimal(ids, off)
