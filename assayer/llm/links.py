@@ -33,7 +33,7 @@ def link_components(
     lists: key long, id long, own long, n_keys int. An item has one set or more, each with its own number (``own``) and
     n_keys distinct keys; items link by any of their sets. Sizes of linked sets differ by at most ``percent``. verify:
     takes (a, b) pairs with a < b and returns the true ones. elements: takes distinct (id, part) and returns (id, part,
-    own, n, element), the n distinct elements of each whole set. need(n_keys): column, the keys that two linked sets at
+    own, hashes), the distinct elements of each whole set. need(n_keys): column, the keys that two linked sets at
     least share.
     """
     spark = lists.sparkSession
@@ -74,7 +74,9 @@ def link_components(
         two = live.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
         live = live.join(two, "key", "left_semi")
     items = cut(live.select("id", "part").distinct())
+    # Kept as arrays: rows of single elements would cost more to write than to take apart twice.
     own = cut(elements(items))
+    own = own.select("id", "part", "own", F.size("hashes").alias("n"), F.explode("hashes").alias("element"))
     del placed, heat, live, items
     release(spark)
     third = _by_elements(own, percent)

@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def elements(items: DataFrame) -> DataFrame:
         own = whole(items.select("id")).join(items, "id")
-        return own.select("id", "part", F.xxhash64("hashes").alias("own"), F.size("hashes").alias("n"), F.explode("hashes").alias("element"))
+        return own.select("id", "part", F.xxhash64("hashes").alias("own"), "hashes")
 
     parts = link_components(lists, verify, elements, need, PERCENT)
     low = parts.select(F.col("id").alias("p_id"), "component")

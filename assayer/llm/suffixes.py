@@ -35,7 +35,7 @@ BLOCKS = (43, 6, 1)
 #: Bytes of one text looked at together; longer ones in pieces that overlap by a window.
 PIECE = 4 << 20
 
-_FOUND = "k_id long, k_text long, at long, value long, context long"
+_FOUND = "value long, context long, spots array<struct<k_id: long, k_text: long, at: long>>"
 
 
 def _minimizers(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -77,6 +77,9 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _find(length: int):
+    """The distinct contexts of each slice of texts, with all their spots in it: a passage that very many texts hold
+    leaves a task as few rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in flat.slices(batch):
@@ -84,9 +87,17 @@ def _find(length: int):
                 own = [(i, *windows(buf[a:b], length)) for i, (a, b) in enumerate(zip(off[:-1], off[1:])) if b - a >= length]
                 if not own:
                     continue
-                pick = pa.array(np.repeat([x[0] for x in own], [len(x[1]) for x in own]))
+                row = np.repeat([x[0] for x in own], [len(x[1]) for x in own])
                 first, count, place, value, context = (np.concatenate(x) for x in list(zip(*own))[1:])
-                yield pa.RecordBatch.from_arrays([part.column("k_id").take(pick), part.column("k_text").take(pick), pa.array(_pack(first, count, place)), pa.array(flat.signed(value)), pa.array(flat.signed(context))], names=["k_id", "k_text", "at", "value", "context"])
+                order = np.lexsort((row, context, value))
+                value, context = value[order], context[order]
+                head = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (context[1:] != context[:-1])]))
+                pick, at = pa.array(row[order]), _pack(first, count, place)[order]
+                spot = [part.column("k_id").take(pick), part.column("k_text").take(pick), pa.array(at)]
+                spots = pa.StructArray.from_arrays(spot, ["k_id", "k_text", "at"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(value)).astype(np.int32)), spots)
+                columns = [pa.array(flat.signed(value[head])), pa.array(flat.signed(context[head])), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "context", "spots"])
 
     return run
 
@@ -177,7 +188,7 @@ def _blocks(length: int, size: int):
 def _listed(base: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
     """The texts with a list of ``items`` each; texts without one are left out before the join."""
     lists = cut(items.groupBy("k_id", "k_text").agg(F.collect_list(F.struct(*columns)).alias("contexts")))
-    texts = sieve.through(base, "k_text", sieve.of(lists.select("k_text").distinct()))
+    texts = sieve.through(base, "k_text", sieve.of(lists.select("k_text")))
     return texts.join(lists, ["k_id", "k_text"])
 
 
@@ -185,12 +196,13 @@ def repeated_windows(base: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k_id, k_text, runs): start ranges [a, b) of the repeated windows of each text that has any. base: k_id, k_text, text."""
     spark = base.sparkSession
     found = cut(base.mapInArrow(_find(length), _FOUND))
-    grouped = found.groupBy("value", "context").agg(F.count("*").alias("many"), F.min(F.struct("k_id", "k_text", "at")).alias("one"))
-    distinct = cut(grouped)
+    many = F.sum(F.size("spots")).alias("many")
+    distinct = cut(found.groupBy("value", "context").agg(many, F.min(F.array_min("spots")).alias("one")))
     release(spark)
     copies = distinct.where("many > 1").select("value", "context")
     start, windows_ = F.shiftright("at", 20), F.col("at").bitwiseAND(1023)
-    copied = found.join(copies, ["value", "context"], "left_semi").select("k_id", "k_text", start.alias("a"), (start + windows_).alias("b"))
+    copied = found.join(copies, ["value", "context"], "left_semi").select(F.inline("spots"))
+    copied = copied.select("k_id", "k_text", start.alias("a"), (start + windows_).alias("b"))
 
     per_value = cut(distinct.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
     release(spark)
@@ -276,7 +288,7 @@ def stripped(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("a length from 16 to 1023 bytes is supported")
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
     runs = repeated_windows(base.select("k_id", "k_text", "text"), length)
-    bits = sieve.of(runs.select("k_text").distinct())
+    bits = sieve.of(runs.select("k_text"))
     touched = sieve.through(base, "k_text", bits).join(runs, ["k_id", "k_text"], "left").select("row", "text", "runs")
     kind = base.schema["row"].dataType.simpleString()
     touched = touched.mapInArrow(_strip(length), f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
