@@ -31,8 +31,10 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and the bins that they fill."""
-    return packing.packed(packing.measured(docs))
+    """The token ids of all documents, in pieces, and the bins that they fill."""
+    import public_tokenizers
+
+    return packing.packed_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
