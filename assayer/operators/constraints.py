@@ -40,15 +40,18 @@ def broken_dependency(df: DataFrame, key: list[str], *values: str) -> DataFrame:
 
 def unpaired(df: DataFrame, condition: str, unit: str, reference: str, show: int = 5) -> DataFrame:
     """For each condition, units of the reference that it lacks and units it has beyond: counts and the first few."""
-    rows = df.select(F.col(condition).alias("condition"), F.col(unit).alias("unit")).distinct()
-    ref = rows.where(F.col("condition") == reference).select("unit")
-    conditions = rows.where(F.col("condition") != reference).select("condition").distinct()
-    missing = conditions.crossJoin(ref).join(rows, ["condition", "unit"], "left_anti").withColumn("side", F.lit("missing"))
-    extra = rows.where(F.col("condition") != reference).join(ref, "unit", "left_anti").select("condition", "unit").withColumn("side", F.lit("extra"))
+    rows = df.select(F.col(condition).alias("condition"), F.col(unit).alias("unit")).where("condition is not null and unit is not null")
+    # Units with all their conditions in one row: only what a unit lacks is spelled out, not conditions times units.
+    held = rows.groupBy("unit").agg(F.collect_set("condition").alias("have"))
+    every = rows.agg(F.collect_set("condition").alias("every"))  # a handful of conditions
+    held = held.crossJoin(F.broadcast(every)).withColumn("in_ref", F.array_contains("have", F.lit(reference)))
+    lacks = F.when(F.col("in_ref"), F.array_except("every", "have")).otherwise(F.col("have"))
+    apart = held.select("unit", F.when(F.col("in_ref"), "missing").otherwise("extra").alias("side"), F.explode(lacks).alias("condition"))
     order = Window.partitionBy("condition", "side").orderBy("unit")
-    ranked = missing.union(extra).withColumn("rank", F.row_number().over(order))
-    some = F.sort_array(F.collect_list(F.when(F.col("rank") <= show, F.col("unit"))))
-    return ranked.groupBy("condition", "side").agg(F.count("*").alias("n"), F.concat_ws(",", some.cast("array<string>")).alias("some"))
+    # The first few of each, before anything is gathered: Spark keeps only so many rows of a window's partition in a task.
+    few = apart.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= show)
+    few = few.groupBy("condition", "side").agg(F.concat_ws(",", F.sort_array(F.collect_list("unit")).cast("array<string>")).alias("some"))
+    return apart.groupBy("condition", "side").agg(F.count("*").alias("n")).join(few, ["condition", "side"])
 
 
 def not_constant(df: DataFrame, by: list[str], column: str, value) -> DataFrame:

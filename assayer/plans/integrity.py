@@ -164,13 +164,15 @@ def c01(spark, sf):
     )
 
 
-@add("U06_colliding_content", """with d as (select doc_id, sha256(text) as exact, sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) as plain, substr(text, 1, 40) as head from documents),
-f as (select doc_id, 'exact' as kind, exact as value from d union all select doc_id, 'plain', plain from d union all select doc_id, 'head', head from d),
+@add("U06_colliding_content", """with d as (select doc_id, sha256(text) as exact, sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) as plain, sha256(regexp_replace(lower(text), '[^a-z]', '', 'g')) as letters from documents),
+f as (select doc_id, 'exact' as kind, exact as value from d union all select doc_id, 'plain', plain from d union all select doc_id, 'letters', letters from d),
 s as (select kind, value from f where value is not null group by 1, 2 having count(*) > 1)
 select doc_id, count(distinct kind) as n_keys, string_agg(distinct kind, ',' order by kind) as kinds from f semi join s using (kind, value) group by 1""")
 def u06(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("exact"), F.sha2(plain_text(F.col("text")), 256).alias("plain"), F.substring("text", 1, 40).alias("head"))
-    return dedup.collisions(docs, "doc_id", ["exact", "plain", "head"])
+    """Documents that share a digest of their text, of it in plain form, or of its letters alone."""
+    letters = F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 256)
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("exact"), F.sha2(plain_text(F.col("text")), 256).alias("plain"), letters.alias("letters"))
+    return dedup.collisions(docs, "doc_id", ["exact", "plain", "letters"])
 
 
 @add("U04_symmetric_difference", "(select l_returnflag as v, 'left' as side from (select l_returnflag from lineitem where l_quantity > 49 except all select l_returnflag from lineitem where l_discount > 0.09)) union all (select l_returnflag, 'right' from (select l_returnflag from lineitem where l_discount > 0.09 except all select l_returnflag from lineitem where l_quantity > 49))")

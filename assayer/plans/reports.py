@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.functions.scalar import finite, ratio
+from assayer.functions.scalar import ratio
 from assayer.operators import classify, constraints, grouped, joins, ranking, sampling
 from assayer.operators import intervals as I
+from assayer.operators import selection as S
+from assayer.operators.ordered import joined, quantiles
 from assayer.plans import grouped as G
 from assayer.plans import intervals as W
 from assayer.plans import ranking as R
@@ -47,43 +49,40 @@ def a26(spark, sf):
 @add("A31_source_scores", """select event_type, bin, count(*) as n, count(distinct user_id) as n_sources, round(avg(value), 6) as mean from (select *, case when value < 10 then 0 when value < 100 then 1 else 2 end as bin from events where value is not null) group by grouping sets ((event_type, bin), (event_type))""")
 def a31(spark, sf):
     rows = table(spark, sf, "events").where("value is not null").withColumn("bin", I.activity(F.col("value"), 10))
-    return rows.groupingSets([[F.col("event_type"), F.col("bin")], [F.col("event_type")]], "event_type", "bin").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_sources"), F.round(F.avg("value"), 6).alias("mean"))
+    return S.by_and_over_all(rows, ["event_type"], "bin", F.count("*").alias("n"), F.count_distinct("user_id").alias("n_sources"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@add("A33_band_summary", "select label, band::int as band, count(*) as n, round(avg(x), 6) as mean, round(median(x), 6) as median from (select label, unnest(range(4)) as band, unnest(list_transform(embedding[1:4], lambda v: v::double)) as x from embeddings) group by 1, 2")
+@add("A33_band_summary", "select label, band::int as band, count(*) as n, round(avg(x), 6) as mean, round(median(x), 6) as median from (select label, unnest(range(64)) as band, unnest(list_transform(embedding, lambda v: v::double)) as x from embeddings) group by 1, 2")
 def a33(spark, sf):
-    rows = table(spark, sf, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("band", "v")).select("label", "band", F.col("v").cast("double").alias("x"))
-    return rows.groupBy("label", "band").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("median"))
+    rows = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("band", "v")).select("label", "band", F.col("v").cast("double").alias("x"))
+    middle = quantiles(rows, ["label", "band"], "x", {"median": 0.5}).drop("n")
+    out = joined(rows.groupBy("label", "band").agg(F.count("*").alias("n"), F.avg("x").alias("mean")), middle, ["label", "band"])
+    return out.select("label", "band", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
 @add("A35_counts_with_empty_cells", "select l.lang, s.source, count(d.doc_id) as n from (select distinct lang from documents) l cross join (select distinct source from documents) s left join documents d on d.lang = l.lang and d.source = s.source and d.n_chars > 2000 group by 1, 2")
 def a35(spark, sf):
-    d = table(spark, sf, "documents")
-    grid = d.select("lang").distinct().crossJoin(d.select("source").distinct())
-    seen = d.where("n_chars > 2000").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    return grid.join(seen, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return S.counts_of_all(table(spark, sf, "documents"), "lang", "source", F.col("n_chars") > 2000)
 
 
 @add("A38_audit_table", "select s_suppkey, case when s_acctbal is null then 'missing' when s_acctbal < 0 then 'refused' when s_acctbal < 1000 then 'pending' else 'ready' end as status from supplier")
 def a38(spark, sf):
-    b = F.col("s_acctbal")
-    return table(spark, sf, "supplier").select("s_suppkey", F.when(b.isNull(), "missing").when(b < 0, "refused").when(b < 1000, "pending").otherwise("ready").alias("status"))
+    name = S.status(F.col("s_acctbal"), [(0, "refused"), (1000, "pending")], "ready")
+    return table(spark, sf, "supplier").select("s_suppkey", name.alias("status"))
 
 
 @add("A39_merge_summary", "select d.doc_id, coalesce(l.quality, -1) as quality, l.doc_id is null as missing_sidecar from documents d left join labels l using (doc_id)")
 def a39(spark, sf):
-    sidecar = table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("there"))
-    out = table(spark, sf, "documents").join(sidecar, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("there").isNull().alias("missing_sidecar"))
+    out = S.with_sidecar(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id", {"quality": -1})
+    return out.select("doc_id", "quality", "missing_sidecar")
 
 
 @add("A40_metrics_at_oracle_cutoff", R._CUT + """, m as (select max(boundary) as b from k) select e.event_type as kind, count(*) filter (where e.value > m.b) as flagged, count(*) as n, round(count(*) filter (where e.value > m.b)::double / count(*), 9) as share from events e, m where e.value is not null group by 1""")
 def a40(spark, sf):
     """Every kind's flagged share at the strictest cut of the two control kinds."""
-    rows = table(spark, sf, "events").where("value is not null").withColumnRenamed("event_type", "kind")
+    rows = table(spark, sf, "events").withColumnRenamed("event_type", "kind")
     cut = ranking.control_cutoff(rows.where(F.col("kind").isin("view", "click")), ["kind"], "value", F.lit(1), 0.05).agg(F.max("boundary").alias("b"))
-    out = rows.crossJoin(F.broadcast(cut)).groupBy("kind").agg(F.count_if(F.col("value") > F.col("b")).alias("flagged"), F.count("*").alias("n"))
-    return out.withColumn("share", F.round(ratio(F.col("flagged"), F.col("n")), 9))
+    return S.share_over(rows, ["kind"], "value", cut).withColumn("share", F.round("share", 9))
 
 
 @add("A42_mean_or_null", "select avg(value) filter (where event_type = 'nothing') as none, round(avg(value), 6) as mean from events")
@@ -93,22 +92,19 @@ def a42(spark, sf):
 
 @add("A43_selection_bias", "select admitted, count(*) as n, round(avg(n_chars), 6) as mean_chars, round(avg(length(text)::double), 6) as mean_length from (select *, doc_id in (select doc_id from labels where quality = 1) as admitted from documents) group by 1")
 def a43(spark, sf):
-    docs, good = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    both = docs.join(good, "doc_id", "left_semi").withColumn("admitted", F.lit(True)).unionByName(docs.join(good, "doc_id", "left_anti").withColumn("admitted", F.lit(False)))
-    return both.groupBy("admitted").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.round(F.avg(F.length("text")), 6).alias("mean_length"))
+    good = table(spark, sf, "labels").where("quality = 1")
+    out = S.compared(table(spark, sf, "documents"), good, "doc_id", mean_chars=F.col("n_chars"), mean_length=F.length("text"))
+    return out.select("admitted", "n", F.round("mean_chars", 6).alias("mean_chars"), F.round("mean_length", 6).alias("mean_length"))
 
 
 @add("C20_array_contract", "select vec_id, case when len(embedding) <> 64 then 'length' when list_max(list_transform(embedding, lambda x: abs(x))) > 0.35 then 'peak' end as reason from embeddings where len(embedding) <> 64 or list_max(list_transform(embedding, lambda x: abs(x))) > 0.35")
 def c20(spark, sf):
-    peak = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
-    reason = F.when(F.size("embedding") != 64, "length").when(F.exists("embedding", lambda x: ~finite(x)), "finite").when(peak > 0.35, "peak")
-    return table(spark, sf, "embeddings").select("vec_id", reason.alias("reason")).where("reason is not null")
+    return S.array_faults(table(spark, sf, "embeddings"), "embedding", 64, 0.35).select("vec_id", "reason")
 
 
 @add("C26_cohort_topology", "select count(*) as n, count(distinct s_suppkey) as n_keys, count(distinct s_name) as n_names, count(distinct s_suppkey) = count(*) and count(distinct s_name) = count(*) as unique_keys from supplier")
 def c26(spark, sf):
-    out = table(spark, sf, "supplier").agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("n_keys"), F.count_distinct("s_name").alias("n_names"))
-    return out.withColumn("unique_keys", (F.col("n_keys") == F.col("n")) & (F.col("n_names") == F.col("n")))
+    return S.topology(table(spark, sf, "supplier"), n_keys="s_suppkey", n_names="s_name")
 
 
 @add("C28_stored_against_recomputed", """with s as (select o_orderpriority as p, avg(o_totalprice) as v from orders group by 1), r as (select p, case when p like '1%' then v * 1.5 else v end as v from s where p not like '5%')
@@ -122,53 +118,46 @@ def c28(spark, sf):
 
 @add("F01_tier_selection", "select count(*) as n from orders where o_orderstatus = 'O'")
 def f01(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus = 'O'").agg(F.count("*").alias("n"))
+    return S.tier(table(spark, sf, "orders"), "o_orderstatus", "O").agg(F.count("*").alias("n"))
 
 
 @add("F04_refused_members", "select array_to_string(list_sort(list(distinct event_type)), ',') as offenders, count(*) as n from events where event_type in ('purchase', 'signup')")
 def f04(spark, sf):
-    refused = spark.createDataFrame([("purchase",), ("signup",)], "event_type string")
-    found = table(spark, sf, "events").join(F.broadcast(refused), "event_type", "left_semi")
-    return found.agg(F.concat_ws(",", F.array_sort(F.collect_set("event_type"))).alias("offenders"), F.count("*").alias("n"))
+    members = spark.createDataFrame([("purchase",), ("signup",)], "event_type string")
+    return S.refused(table(spark, sf, "events"), "event_type", members)
 
 
 @add("F06_split_and_condition", "select lang, count(*) as n from documents where source = 'src1' and lang in ('en', 'de') group by 1")
 def f06(spark, sf):
-    return table(spark, sf, "documents").where((F.col("source") == "src1") & F.col("lang").isin("en", "de")).groupBy("lang").agg(F.count("*").alias("n"))
+    return S.matching(table(spark, sf, "documents"), source="src1", lang=["en", "de"]).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @add("F07_label_index", "select event_id, case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then 2 end as y from events where event_type in ('view', 'click', 'purchase')")
 def f07(spark, sf):
-    index = F.create_map(*(F.lit(x) for k, n in enumerate(("view", "click", "purchase")) for x in (n, k)))
-    return table(spark, sf, "events").where(F.col("event_type").isin("view", "click", "purchase")).select("event_id", F.element_at(index, F.col("event_type")).alias("y"))
+    return S.label_index(table(spark, sf, "events"), "event_type", ["view", "click", "purchase"]).select("event_id", "y")
 
 
 @add("F12_metric_difference", "select l_orderkey, l_linenumber, round(l_tax - l_discount, 6) as metric from lineitem")
 def f12(spark, sf):
     """A metric named as a difference of two columns, checked against the schema before it is used."""
-    rows, name = table(spark, sf, "lineitem"), "l_tax-l_discount"
-    parts = name.split("-")
-    if len(parts) > 2 or not set(parts) <= set(rows.columns):
-        raise ValueError(f"no metric {name}")
-    value = F.col(parts[0]) - F.col(parts[1]) if len(parts) == 2 else F.col(parts[0])
-    return rows.select("l_orderkey", "l_linenumber", F.round(value, 6).alias("metric"))
+    rows = table(spark, sf, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.round(S.metric(rows, "l_tax-l_discount"), 6).alias("metric"))
 
 
 @add("F16_path_filter", "select count(*) as n from pages where not list_has_any(string_split(url, '/'), ['cache', '1']) and url not like '%?%'")
 def f16(spark, sf):
-    parts = F.split("url", "/")
-    return table(spark, sf, "pages").where(~F.arrays_overlap(parts, F.array(F.lit("cache"), F.lit("1"))) & ~F.col("url").contains("?")).agg(F.count("*").alias("n"))
+    return S.kept_paths(table(spark, sf, "pages"), "url", ["cache", "1"], ["?"]).agg(F.count("*").alias("n"))
 
 
 @add("J11_row_identity", "select count(*) as n_missing from (select doc_id from labels except select doc_id from documents)")
 def j11(spark, sf):
-    return table(spark, sf, "labels").select("doc_id").subtract(table(spark, sf, "documents").select("doc_id")).agg(F.count("*").alias("n_missing"))
+    return S.missing_keys(table(spark, sf, "labels"), table(spark, sf, "documents"), ["doc_id"]).agg(F.count("*").alias("n_missing"))
 
 
 @add("T08_recommendation", "select event_type, case when d > 5 then 'A' when d > 0 then 'B' else 'C' end as choice from (select event_type, avg(value) - median(value) as d from events group by 1)")
 def t08(spark, sf):
     d = table(spark, sf, "events").groupBy("event_type").agg((F.avg("value") - F.median("value")).alias("d"))
-    return d.select("event_type", F.when(F.col("d") > 5, "A").when(F.col("d") > 0, "B").otherwise("C").alias("choice"))
+    return d.select("event_type", S.recommended(F.col("d"), [(5, "A"), (0, "B")], "C").alias("choice"))
 
 
 @add("T16_signal_gate", "select condition, auroc >= 0.5 and n_pos >= 10 as go_on from (" + R._LENGTHS.format("quality") + R._AUC + ")")
@@ -208,21 +197,21 @@ def w22(spark, sf):
 @add("D02_probe_table", """select 'length' as probe, lang as condition, round(avg(n_chars), 6) as m from documents group by 2 union all select 'words', lang, round(avg(len(string_split(text, ' '))), 6) from documents group by 2""")
 def d02(spark, sf):
     docs = table(spark, sf, "documents")
-    probes = {"length": F.col("n_chars"), "words": F.size(F.split("text", " "))}
-    parts = [docs.groupBy(F.col("lang").alias("condition")).agg(F.round(F.avg(e), 6).alias("m")).select(F.lit(n).alias("probe"), "condition", "m") for n, e in probes.items()]
-    return parts[0].unionByName(parts[1])
+    out = S.probes(docs, F.col("lang"), "condition", length=F.col("n_chars"), words=F.size(F.split("text", " ")))
+    return out.withColumn("m", F.round("m", 6))
 
 
 @add("D05_headline_summary", """with q as (select event_type as condition, avg(value) as quality from events where event_type <> 'view' group by 1), d as (select event_type as condition, count(*) filter (where value > 50)::double / count(*) as detected from events group by 1),
 r as (select rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2.0 as a, rank() over (order by detected) + (count(*) over (partition by detected) - 1) / 2.0 as b from q join d using (condition))
-select count(*) as n, case when count(*) >= 3 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then round(corr(a, b), 6) end as rho from r""")
+select count(*) as n, case when count(*) >= 3 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then round(corr(a, b), 6) end as rho, case when count(*) < 3 or stddev_pop(a) = 0 or stddev_pop(b) = 0 then 'undefined' when abs(round(corr(a, b), 6)) >= 0.7 then case when corr(a, b) > 0 then 'strong positive' else 'strong negative' end when abs(round(corr(a, b), 6)) >= 0.4 then 'moderate' else 'weak' end as strength from r""")
 def d05(spark, sf):
     """Rank correlation of a condition's quality with how easily it is detected."""
     e = table(spark, sf, "events").withColumnRenamed("event_type", "condition")
     q = e.where("condition <> 'view'").groupBy("condition").agg(F.avg("value").alias("quality"))
     d = e.groupBy("condition").agg((F.count_if(F.col("value") > 50) / F.count("*")).alias("detected"))
     both = joins.side_by_side(q, d, ["condition"]).where("quality is not null and detected is not null").withColumn("all", F.lit(1))
-    return ranking.spearman(both, ["all"], "quality", "detected").select("n", F.round("rho", 6).alias("rho"))
+    out = ranking.spearman(both, ["all"], "quality", "detected")
+    return out.select("n", F.round("rho", 6).alias("rho"), ranking.verdict(F.round("rho", 6)).alias("strength"))
 
 
 @add("O11_sampling_weights_effective", "select quality, round(sum(w) * sum(w) / sum(w * w), 6) as effective from (select quality, (1 + doc_id % 3)::double as w from labels) group by 1")

@@ -28,12 +28,18 @@ def x01(spark, sf):
 
 @add("X02_clip_statistics")
 def x02(spark, sf):
-    return _out(G.apply(_x(spark, sf), "embedding", ["vec_id"], lambda x: G.clip_statistics(x, RATE, 8, 32, 16), "v"))
+    return _out(G.apply(_x(spark, sf), "embedding", ["vec_id"], lambda x: G.clip_statistics(x, RATE), "v"))
 
 
 @add("X03_log_mel")
 def x03(spark, sf):
-    return _out(G.apply(_x(spark, sf), "embedding", ["vec_id"], lambda x: G.log_mel(x, RATE, 6, 32, 16).mean(0), "v"))
+    """Mean and deviation over frames of 24 log-mel bands."""
+
+    def both(x):
+        m = G.log_mel(x, RATE)
+        return np.concatenate([m.mean(0), m.std(0)])
+
+    return _out(G.apply(_x(spark, sf), "embedding", ["vec_id"], both, "v"))
 
 
 #: Spectra in SQL: re and im of each of the 33 frequencies of a vector of 64.

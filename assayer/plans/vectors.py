@@ -10,12 +10,14 @@ from assayer.plans.registry import Catalogue, table
 
 catalogue = Catalogue()
 add = catalogue.add
-_L = "list_transform(embedding[1:3], lambda x: 10 * x::double)"
+#: Three logits, the sums of a vector's thirds, and its last component as a margin: every component is read.
+_L = "[" + ", ".join(f"4 * list_sum(list_transform(embedding[{21 * k + 1}:{21 * k + 21}], lambda x: x::double))" for k in range(3)) + "]"
 _LOGITS = f"(select vec_id, label, l, list_max(l) as top, embedding from (select vec_id, label, embedding, {_L} as l from embeddings))"
 
 
 def _logits(spark, sf):
-    return table(spark, sf, "embeddings").withColumn("l", F.transform(F.slice("embedding", 1, 3), lambda x: 10 * x.cast("double")))
+    third = lambda k: F.aggregate(F.slice("embedding", 21 * k + 1, 21), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return table(spark, sf, "embeddings").withColumn("l", F.array(*(4 * third(k) for k in range(3))))
 
 
 @add("Xs01_sigmoid", "select event_id, round(1 / (1 + exp(-(value - 50) / 20)), 9) as p from events where value is not null")
@@ -39,10 +41,11 @@ def xs04(spark, sf):
     return table(spark, sf, "events").where("value is not null").select("event_id", F.round(X.decibels(F.abs("value")), 6).alias("db"))
 
 
-@add("Xs05_linear_decision", "select vec_id, round(((embedding[1]::double - 0.1) / 2 * 1.5 + (embedding[2]::double + 0.2) / 0.5 * -1) + 0.25, 6) as margin from embeddings")
+@add("Xs05_linear_decision", "select vec_id, round(list_sum(list_transform(embedding, lambda x, i: (x::double - i / 100.0::double) / (1 + i / 64.0::double) * (case when i % 2 = 0 then 1.5 else -1 end))) + 0.25, 6) as margin from embeddings")
 def xs05(spark, sf):
-    lit = lambda *v: F.array(*map(F.lit, v))
-    margin = X.linear(F.slice("embedding", 1, 2), lit(0.1, -0.2), lit(2.0, 0.5), lit(1.5, -1.0), F.lit(0.25))
+    each = lambda f: F.array(*(F.lit(float(f(i))) for i in range(1, 65)))
+    mean, scale, weight = each(lambda i: i / 100), each(lambda i: 1 + i / 64), each(lambda i: -1 if i % 2 else 1.5)
+    margin = X.linear(F.col("embedding"), mean, scale, weight, F.lit(0.25))
     return table(spark, sf, "embeddings").select("vec_id", F.round(margin, 6).alias("margin"))
 
 
@@ -66,10 +69,11 @@ def xs11(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.size(F.split("url", "/")).cast("long").alias("depth"))
 
 
-@add("Xs13_repeat_to", "select vec_id, round(list_sum(list_transform(list_concat(e, e, e)[1:12], lambda x, i: x * i)), 6) as s from (select vec_id, list_transform(embedding[1:5], lambda x: x::double) as e from embeddings)")
+@add("Xs13_repeat_to", "select vec_id, round(list_sum(list_transform(list_concat(e, e, e)[1:150], lambda x, i: x * i)), 6) as s from (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings)")
 def xs13(spark, sf):
-    padded = X.repeat_to(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")), 12)
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(F.transform(padded, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6).alias("s"))
+    padded = X.repeat_to(F.transform("embedding", lambda x: x.cast("double")), 150)
+    weighed = F.transform(padded, lambda x, i: x * (i + 1))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x), 6).alias("s"))
 
 
 @add("Xs15_json_fields", "select (props->>'k')::bigint as k, count(*) as n from events where props is not null group by 1")
@@ -90,14 +94,14 @@ def xs18(spark, sf):
 
 _POLICIES = [("open", 0.5, -0.5), ("strict", 0.2, 1.5), ("reject", 0.5, None)]
 _DECIDED = f"""(with p as (select * from (values ('open', 0.5::double, -0.5::double), ('strict', 0.2, 1.5), ('reject', 0.5, null)) t(policy, gate, cutoff)),
-x as (select vec_id, label, embedding[4]::double as margin, top, l from {_LOGITS} where label <= 4)
+x as (select vec_id, label, embedding[64]::double as margin, top, l from {_LOGITS} where label <= 4)
 select policy, vec_id, label, case when margin <= gate and cutoff is not null and top >= cutoff then list_position(l, top)::int - 1 else -1 end as label_out,
 case when margin <= gate and cutoff is not null and top >= cutoff then 'attributed' when margin > gate then 'genuine' else 'uncertain' end as state,
 case when margin <= gate and cutoff is not null and top >= cutoff then 'accepted' when cutoff is null then 'reject_all' when margin > gate then 'binary_gate' else 'support' end as reason from x, p)"""
 
 
 def _decided(spark, sf):
-    rows = _logits(spark, sf).where("label <= 4").select("vec_id", "label", F.element_at("embedding", 4).cast("double").alias("margin"), F.array_max("l").alias("top"), "l")
+    rows = _logits(spark, sf).where("label <= 4").select("vec_id", "label", F.element_at("embedding", 64).cast("double").alias("margin"), F.array_max("l").alias("top"), "l")
     policies = spark.createDataFrame(_POLICIES, "policy string, gate double, cutoff double")
     return classify.decide(rows, policies, "margin", "top", "l")
 
@@ -133,9 +137,9 @@ def a19(spark, sf):
     return out.select("policy", "known_correct", "known_wrong", "known_rejected", F.round("coverage", 9).alias("coverage"), F.round("selective_accuracy", 9).alias("selective_accuracy"))
 
 
-@add("F15_prediction_projection", f"select vec_id, case when margin > 0.1 then 'real' else 'synthetic' end as verdict, case when margin > 0.1 then null else list_position(l, top)::int - 1 end as routed, round(l[1], 6) as logit_0, round(l[2], 6) as logit_1, round(l[3], 6) as logit_2 from (select vec_id, embedding[4]::double as margin, l, top from {_LOGITS})")
+@add("F15_prediction_projection", f"select vec_id, case when margin > 0.1 then 'real' else 'synthetic' end as verdict, case when margin > 0.1 then null else list_position(l, top)::int - 1 end as routed, round(l[1], 6) as logit_0, round(l[2], 6) as logit_1, round(l[3], 6) as logit_2 from (select vec_id, embedding[64]::double as margin, l, top from {_LOGITS})")
 def f15(spark, sf):
-    real = F.element_at("embedding", 4).cast("double") > 0.1
+    real = F.element_at("embedding", 64).cast("double") > 0.1
     return _logits(spark, sf).select("vec_id", F.when(real, "real").otherwise("synthetic").alias("verdict"), F.when(~real, X.argmax(F.col("l"))).alias("routed"), *(F.round(F.col("l")[i], 6).alias(f"logit_{i}") for i in range(3)))
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,9 +73,11 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree_digest(files: DataFrame) -> DataFrame:
-    """One digest of an inventory, the same in any order of its rows."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "sha256", "path"))), "\n")
-    return files.agg(F.sha2(lines, 256).alias("sha256"), F.count("*").alias("n_files"))
+    """One digest of an inventory, the same in any order of its rows: of 4,096 buckets' digests, each of its sorted lines."""
+    lines = files.select(F.concat_ws(" ", "sha256", "path").alias("line"), F.substring(F.sha2("path", 256), 1, 3).alias("bucket"))
+    buckets = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"), F.count("*").alias("n"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", "d"))), "\n")
+    return buckets.agg(F.sha2(whole, 256).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
 _WAVE = "path string, rate int, channels int, bits int, frames long, duration double, problem string"
@@ -113,8 +115,28 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decode, f"{_WAVE}, samples array<float>")
 
 
+def _little(data: Column, at: int, size: int) -> Column:
+    """An unsigned number of ``size`` bytes, the lowest first, at a 1-based place."""
+    digits = F.concat(*(F.hex(F.substring(data, at + k, 1)) for k in reversed(range(size))))
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def probe_audio(spark: SparkSession, path: str) -> DataFrame:
-    return read_audio(spark, path).drop("samples")
+    """Header columns only, by expressions on a file's first bytes: no sample is decoded. A header whose chunks don't stand in the
+    plain order (fmt, then data) is read like any other file's."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    head = files.select("path", "length", F.substring("content", 1, 44).alias("h"))
+    text = lambda at: F.substring(F.col("h"), at, 4).cast("string")
+    plain = (text(1) == "RIFF") & (text(9) == "WAVE") & (text(13) == "fmt ") & (_little(F.col("h"), 17, 4) == 16) & (text(37) == "data")
+    named = {"channels": (23, 2), "rate": (25, 4), "align": (33, 2), "bits": (35, 2), "bytes": (41, 4)}
+    rows = head.where(plain & (F.col("length") >= 44)).select("path", "length", *(_little(F.col("h"), *where).alias(n) for n, where in named.items()))
+    frames = F.floor(F.least(F.col("bytes"), F.col("length") - 44) / F.col("align"))
+    rows = rows.where("align > 0 and rate > 0").select(
+        "path", F.col("rate").cast("int").alias("rate"), F.col("channels").cast("int").alias("channels"), F.col("bits").cast("int").alias("bits"),
+        frames.alias("frames"), (frames / F.col("rate")).alias("duration"), F.when(F.col("bits") != 16, "not PCM of 16 bits").alias("problem"),
+    )
+    others = files.join(rows.select("path"), "path", "left_anti").select("path", "content")
+    return rows.unionByName(others.mapInArrow(_decode, f"{_WAVE}, samples array<float>").drop("samples"))
 
 
 def checked_audio(audio: DataFrame, rate: int, most_peak: float = 10 ** (-1 / 20), seconds: tuple[float, float] = (0.1, 60.0)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import os
@@ -36,13 +37,50 @@ def flat_record(df: DataFrame) -> DataFrame:
     return df.select(*(text(f).alias(f.name) for f in df.schema))
 
 
-def write_json(rows: DataFrame, path: str, most: int = 10_000) -> None:
-    """A small table as one JSON document with sorted keys; NaN and infinities are refused, as is a table above ``most`` rows."""
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text file, in any store that Spark writes to; an existing one is refused."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _few(rows: DataFrame, most: int) -> list[dict]:
     found = [r.asDict(True) for r in rows.limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"more than {most} rows aren't a JSON document")
-    with open(path, "w") as f:
-        json.dump(found, f, sort_keys=True, indent=1, allow_nan=False)
+    return found
+
+
+def write_json(rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small table as one JSON document with sorted keys; NaN and infinities are refused, as is a table above ``most`` rows."""
+    write_text(rows.sparkSession, json.dumps(_few(rows, most), sort_keys=True, indent=1, allow_nan=False), path)
+
+
+def write_map(rows: DataFrame, key: str, path: str, most: int = 10_000) -> None:
+    """A small table as one JSON map from its key, which must be unique, to the other columns. files.read_map() reads it."""
+    found = _few(rows, most)
+    out = {str(r.pop(key)): r for r in found}
+    if len(out) < len(found):
+        raise ValueError(f"{key} repeats")
+    write_text(rows.sparkSession, json.dumps(out, sort_keys=True, indent=1, allow_nan=False), path)
+
+
+def write_plan(spark: SparkSession, plan: dict, path: str) -> str:
+    """A plan that is written before any result is; returns its digest. It can't be written twice."""
+    body = json.dumps(plan, sort_keys=True, indent=1, allow_nan=False)
+    write_text(spark, body, path)
+    return hashlib.sha256(body.encode()).hexdigest()
+
+
+def planned(spark: SparkSession, path: str, digest: str) -> dict:
+    """The plan of write_plan(), if it is still what was written."""
+    body = spark.read.text(path, wholetext=True).first()[0]
+    if hashlib.sha256(body.encode()).hexdigest() != digest:
+        raise ValueError(f"{path} isn't the plan that was written")
+    return json.loads(body)
 
 
 def publish(df: DataFrame, path: str, check=None) -> None:

@@ -166,3 +166,69 @@ def test_reports(spark, tmp_path):
     drivers.paired(spark, str(tmp_path / "before"), str(tmp_path / "after"), f"{out}/paired", draws=50)
     r = spark.read.parquet(f"{out}/paired/change").first()
     assert r.low == pytest.approx(1) == r.high
+
+
+def test_json_maps_and_plans(spark, tmp_path):
+    from assayer.sources import files, sinks
+
+    df = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.25)], "condition string, lag int, share double")
+    sinks.write_map(df, "condition", str(tmp_path / "map.json"))
+    back = files.read_map(spark, str(tmp_path / "map.json"), "struct<lag: int, share: double>")
+    assert sorted(map(tuple, back.collect())) == [("a", 1, 0.5), ("b", 2, 0.25)]
+    with pytest.raises(ValueError):
+        sinks.write_map(df.union(df), "condition", str(tmp_path / "twice.json"))
+    digest = sinks.write_plan(spark, {"seed": 1}, str(tmp_path / "plan.json"))
+    assert sinks.planned(spark, str(tmp_path / "plan.json"), digest) == {"seed": 1}
+    with pytest.raises(ValueError):
+        sinks.planned(spark, str(tmp_path / "plan.json"), "0" * 64)
+    with pytest.raises(Exception, match="exists"):
+        sinks.write_plan(spark, {"seed": 2}, str(tmp_path / "plan.json"))
+
+
+def test_intake(spark, tmp_path):
+    from assayer.sources import files, intake, sinks
+
+    rng = np.random.default_rng(7)
+    audio = tmp_path / "audio"
+    audio.mkdir()
+    one, two = (rng.uniform(-0.5, 0.5, 4000).astype(np.float32) for _ in "ab")
+    for name, x, rate in (("one", one, 16_000), ("two", two, 16_000), ("copy", two, 16_000), ("still", np.zeros(4000, np.float32), 16_000), ("short", one[:99], 16_000), ("rate", one, 22_050)):
+        sinks.write_wave(x, str(audio / f"{name}.wav"), rate)
+    (audio / "broken.wav").write_bytes(b"nothing")
+    named = lambda df: df.withColumn("item", F.regexp_extract("path", "([a-z]+)[.]wav", 1))
+    found = named(intake.measured(files.read_audio(spark, str(audio)), 16_000))
+    members = spark.createDataFrame([(n,) for n in ("one", "two", "copy", "still", "short", "rate", "broken", "gone")], "item string")
+    decided = intake.admitted(found, "item", ["samples_sha256"], members)
+    out = {r["item"]: r.reason for r in decided.collect()}
+    assert out == {"one": None, "two": "duplicate", "copy": "duplicate", "still": "silent", "short": "duration", "rate": "rate", "broken": "not a RIFF/WAVE file", "gone": "missing"}
+    sealed = decided.join(files.inventory(spark, str(audio)).select("path", "sha256"), "path", "left")
+    intake.seal_intake(sealed, str(tmp_path / "intake"))
+    rows = intake.ingested(str(tmp_path / "intake"), str(audio), spark)
+    assert intake.gate(rows, 1, rows.limit(0)).count() == 1
+    for expected, broken in ((2, rows.limit(0)), (1, rows)):
+        with pytest.raises(BadSource):
+            intake.gate(rows, expected, broken)
+    sinks.write_wave(two, str(audio / "one.wav"), 16_000)
+    with pytest.raises(BadSource, match="changed"):
+        intake.ingested(str(tmp_path / "intake"), str(audio), spark)
+    probed = {r.path.rpartition("/")[2]: r for r in files.probe_audio(spark, str(audio)).collect()}
+    whole = {r.path.rpartition("/")[2]: r for r in files.read_audio(spark, str(audio)).drop("samples").collect()}
+    assert probed == whole
+
+
+def test_names_select(spark):
+    from assayer.operators import selection as S
+
+    df = spark.createDataFrame([(1, "a", 2.0, 0.5), (2, "b", 1.0, None), (3, "c", 3.0, 1.0)], "k int, c string, x double, y double")
+    assert [r.k for r in S.tier(df, "c", "a").collect()] == [1]
+    for bad in (lambda: S.tier(df, "tier", "a"), lambda: S.metric(df, "x-z"), lambda: S.metric(df, "x-y-x")):
+        with pytest.raises(ValueError):
+            bad()
+    assert df.select(S.metric(df, "x-y")).first()[0] == 1.5 and df.select(S.metric(df, "x")).first()[0] == 2
+    assert {r.k: r.y for r in S.label_index(df, "c", ["c", "a"]).collect()} == {3: 0, 1: 1}
+    assert tuple(S.refused(df, "c", df.where("k > 1")).first()) == ("b,c", 2)
+    assert tuple(S.refused(df, "c", df.limit(0)).first()) == ("", 0)
+    names = df.select(S.status(F.col("y"), [(0.6, "low"), (0.9, "mid")], "high").alias("s"))
+    assert [r.s for r in names.collect()] == ["low", "missing", "high"]
+    paths = spark.createDataFrame([("a/cache/x",), ("a/cached/x",), ("b?x",)], "p string")
+    assert [r.p for r in S.kept_paths(paths, "p", ["cache"], ["?"]).collect()] == ["a/cached/x"]
