@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm import flat, passages, sieve
+from assayer.llm import flat, sieve
 from assayer.llm.lineage import cut, release
 from assayer.llm.links import link_components
 from assayer.llm.minhash import matched
-from assayer.llm.passages import repeated_passages
+from assayer.llm.passages import RUNS, removed_words, repeated_passages
 
 PERCENT = 75
 LEAST_WORDS = 25
@@ -182,8 +182,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lost[edges[span[i] + k]] += 1
                     lost[edges[span[i] + k + 1]] -= 1
                 if runs.is_valid:
-                    first = at[i] + runs.values.to_numpy()
-                    last = first + passages.LENGTH
+                    first, last = removed_words(runs.values, int(at[i]), starts, edges)
                     np.add.at(lost, heads[first], 1)
                     np.add.at(lost, np.where(last < at[i + 1], heads[last], off[i + 1]), -1)
             keep = np.cumsum(lost[:-1]) == 0
@@ -208,14 +207,14 @@ def stripped(docs: DataFrame) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keys = F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text")
     base = docs.select(row, *keys, F.col("text").cast("string").alias("text"))
-    runs = repeated_passages(base.select("k_id", "k_text", "text"), split)
+    runs = repeated_passages(base.select("k_id", "k_text", "text"))
     release(docs.sparkSession)
     gone = repeated_paragraphs(base.select("k_id", "k_text", "text"))
     release(docs.sparkSession)
     lost = cut(gone.join(runs, ["k_id", "k_text"], "full"))
     bits = sieve.of(lost.select("k_text"))
     touched = sieve.through(base, "k_text", bits).join(lost, ["k_id", "k_text"], "left").select("row", "text", "gone", "runs")
-    none = F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<int>").alias("runs")
+    none = F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast(RUNS).alias("runs")
     others = sieve.through(base, "k_text", bits, wanted=False).select("row", "text", *none)
     kind = base.schema["row"].dataType.simpleString()
     return touched.union(others).mapInArrow(

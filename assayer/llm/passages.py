@@ -1,10 +1,11 @@
 """Repeated passages of words, wherever they begin and end.
 
-Any run of ``LENGTH`` words (A-Z lower-cased) that stands before, in the order of (doc_id, word), is
+Any run of ``LENGTH`` words (A-Z lower-cased) that stands before, in the order of (doc_id, text, word), is
 repeated; one in the same document once it starts ``LENGTH`` words later and in another paragraph (a
-paragraph that repeats itself is one paragraph). Each window of
-``LENGTH`` words names one seed, its ``SEED``-word run of least hash: equal windows name equal seeds, so
-only windows whose seed repeats are hashed whole and compared.
+paragraph that repeats itself is one paragraph). Each window of ``LENGTH`` words names one seed, its ``SEED``-word run of
+least hash: equal windows name equal seeds. Consecutive windows with one seed make a context, its words; equal contexts are
+settled as wholes, and only where a seed has several distinct contexts are the windows of one of each compared. Seeds,
+contexts and windows are compared by 64-bit hashes, always two of them together.
 """
 
 from __future__ import annotations
@@ -22,89 +23,126 @@ from assayer.llm.lineage import cut, release
 LENGTH = 50
 SEED = 25
 
+_SPOT = "struct<k_id: long, k_text: long, at: int, n: int>"
+RUNS = "array<struct<a: int, n: int, back: int>>"
 
-def _runs(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` words, from one prefix sum over the words' hashes."""
-    n = len(h)
-    if n < width:
-        return np.empty(0, flat.U)
-    total = np.zeros(n + 1, flat.U)
-    np.cumsum(h * flat._power("up", n), out=total[1:])
-    return flat.mix((total[width:] - total[:-width]) * flat._power("down", n + 1)[: n - width + 1])
 
+def _span_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run of words [first, last), from one prefix sum over the words' hashes."""
+    total = np.zeros(len(h) + 1, flat.U)
+    np.cumsum(h * flat._power("up", len(h)), out=total[1:])
+    return flat.mix((total[last] - total[first]) * flat._power("down", len(h) + 1)[first] + (last - first).astype(flat.U))
 
-def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = flat._LOWER[buf]
     starts, ends, at = flat.words(low, off)
-    return flat.span_hashes(low, starts, ends), at, starts
+    return flat.span_hashes(low, starts, ends), at
 
 
-def _windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First words of the windows, their texts, their seeds' first words, and the hash of each seed that could be."""
-    none = np.empty(0, np.int64)
-    seeds = _runs(h, SEED)
+def _contexts(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one seed: first words, numbers of windows, texts, hashes of the seeds."""
     if len(h) < LENGTH:
-        return none, none, none, seeds
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, flat.U),)
+    every = np.arange(len(h) - SEED + 1)
+    seeds = _span_hashes(h, every, every + SEED)
     first = np.arange(len(h) - LENGTH + 1)
     doc = np.searchsorted(at, first, "right") - 1
     inside = first + LENGTH <= at[doc + 1]
-    return first[inside], doc[inside], flat.least_in_windows(seeds, LENGTH - SEED + 1)[inside], seeds
+    first, doc, seed = first[inside], doc[inside], flat.least_in_windows(seeds, LENGTH - SEED + 1)[inside]
+    if not len(first):
+        return first, first, doc, seeds[:0]
+    head = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])]))
+    return first[head], np.diff(np.append(head, len(first))), doc[head], seeds[seed[head]]
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct contexts of each slice of texts, with all their spots in it."""
+    for batch in batches:
+        for part in flat.slices(batch):
+            h, at = _words(*flat.bytes_of(part.column("text")))
+            first, n, doc, value = _contexts(h, at)
+            context = _span_hashes(h, first, first + n - 1 + LENGTH) if len(first) else value
+            order = np.lexsort((context, value))
+            value, context = value[order], context[order]
+            head = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (context[1:] != context[:-1])])[: len(value)])
+            pick = pa.array(doc[order])
+            numbers = [pa.array(x[order].astype(np.int32)) for x in (first - at[doc], n)]
+            spots = [part.column("k_id").take(pick), part.column("k_text").take(pick), *numbers]
+            lists = pa.StructArray.from_arrays(spots, ["k_id", "k_text", "at", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(value)).astype(np.int32)), lists)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.signed(value[head])), pa.array(flat.signed(context[head])), lists], names=["value", "context", "spots"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the contexts that a row's list names, with their hashes."""
     for batch in batches:
         for part in flat.slices(batch):
-            h, at, _ = _words(*flat.bytes_of(part.column("text")))
-            _, doc, seed, hashes = _windows(h, at)
-            seed, once = np.unique(seed, return_index=True)
-            doc = doc[once]
-            pick = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column("k_id").take(pick), part.column("k_text").take(pick), pa.array((seed - at[doc]).astype(np.int32)), pa.array(flat.signed(hashes[seed]))], names=["k_id", "k_text", "at", "h"])
-
-
-def _whole(split):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows whose seed a row's list names, and the first words of the paragraphs in which they begin."""
-        for batch in batches:
-            for part in flat.slices(batch):
-                buf, off = flat.bytes_of(part.column("text"))
-                h, at, starts = _words(buf, off)
-                first, doc, seed, _ = _windows(h, at)
-                wanted = part.column("wanted")
-                named = np.zeros(len(h) + 1, bool)
-                named[np.repeat(at[:-1], np.diff(wanted.offsets.to_numpy())) + wanted.flatten().to_numpy()] = True
-                keep = named[seed]
-                first, doc = first[keep], doc[keep]
-                edges, _ = split(buf, off)
-                heads = np.searchsorted(starts, edges)[np.searchsorted(edges, starts[first], "right") - 1]
-                pick = pa.array(doc)
-                numbers = [pa.array((x - at[doc]).astype(np.int32)) for x in (first, heads)]
-                columns = [part.column("k_id").take(pick), part.column("k_text").take(pick), *numbers, pa.array(flat.signed(_runs(h, LENGTH)[first]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k_id", "k_text", "at", "head", "h"])
-
-    return run
-
-
-_ROW = "k_id long, k_text long, at int, h long"
-
-
-def repeated_passages(keyed: DataFrame, split) -> DataFrame:
-    """(k_id, k_text, runs): the first words of each document's windows that stand before. keyed: k_id, k_text, text.
-
-    split gives the paragraphs of texts. Rows with the same id and text are one document."""
+            h, at = _words(*flat.bytes_of(part.column("text")))
+            wanted = part.column("wanted")
+            row = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+            items = wanted.flatten()
+            a, n, value = (items.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "value"))
+            each = np.repeat(np.arange(len(row)), n)
+            place = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            first = at[row[each]] + place
+            pick = pa.array(row[each])
+            columns = [part.column("k_id").take(pick), part.column("k_text").take(pick), pa.array(place.astype(np.int32))]
+            columns += [pa.array(value[each]), pa.array(flat.signed(_span_hashes(h, first, first + LENGTH)) if len(first) else first)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k_id", "k_text", "at", "value", "h"])
+
+
+def repeated_passages(keyed: DataFrame) -> DataFrame:
+    """(k_id, k_text, runs): of each document with windows that stand before, runs of ``n`` windows from word ``a`` on. A run that stands
+    ``back`` words before in the same document is to be judged by removed_words(). keyed: k_id, k_text, text.
+
+    Rows with the same id and text are one document."""
+    spark = keyed.sparkSession
     keyed = keyed.where("k_id is not null and length(text) > 0")
-    seeds = cut(keyed.mapInArrow(_seeds, _ROW))
-    many = cut(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    spots = sieve.through(seeds, "h", sieve.of(many)).join(many, "h", "left_semi")
-    lists = cut(spots.groupBy("k_id", "k_text").agg(F.collect_set("at").alias("wanted")))
-    texts = sieve.through(keyed, "k_text", sieve.of(lists.select("k_text")))
-    found = texts.join(lists, ["k_id", "k_text"]).mapInArrow(_whole(split), "k_id long, k_text long, at int, head int, h long")
-    windows = cut(found)
-    del seeds, many, spots, lists, texts, found
-    release(keyed.sparkSession)
-    first = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k_id", "k_text", "at")).alias("first"))
-    first = first.where("n > 1").select("h", "first")
-    same = (F.col("k_id") == F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text"))
-    later = ~same | ((F.col("at") >= F.col("first.at") + LENGTH) & (F.col("first.at") < F.col("head")))
-    again = windows.join(first, "h").where(later).select("k_id", "k_text", "at")
-    return cut(again.groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs")))
+    found = cut(keyed.mapInArrow(_find, f"value long, context long, spots array<{_SPOT}>"))
+    distinct = found.groupBy("value", "context").agg(F.sum(F.size("spots")).alias("many"), F.min(F.array_min("spots")).alias("one"))
+    distinct = cut(distinct)
+    values = distinct.groupBy("value").agg(F.count("*").alias("contexts"), F.sum("many").alias("n")).where("n > 1").select("value", "contexts")
+    values = cut(values)
+    release(spark)
+    known = sieve.through(distinct, "value", sieve.of(values.select("value"))).join(values, "value")
+    known = cut(known.where("many > 1 or contexts > 1").select("value", "context", "many", "contexts", "one"))
+    del distinct, values
+
+    copies = found.join(known.where("many > 1").select("value", "context", "contexts", "one"), ["value", "context"])
+    copies = copies.select("value", "contexts", "one", F.explode("spots").alias("s")).where("s <> one")
+    within = (F.col("s.k_id") == F.col("one.k_id")) & (F.col("s.k_text") == F.col("one.k_text"))
+    copies = copies.select("value", "contexts", "s.*", F.when(within, F.col("s.at") - F.col("one.at")).otherwise(0).alias("back"))
+    copies = cut(copies)
+    runs = copies.where("back = 0 or contexts = 1").select("k_id", "k_text", F.col("at").alias("a"), "n", "back")
+
+    # One of each distinct context of a seed; and what repeats in a document, which may stand before in another one too.
+    mixed = known.where("contexts > 1").select("value", "one.*").union(copies.where("back <> 0 and contexts > 1").select("value", "k_id", "k_text", "at", "n"))
+    lists = cut(mixed.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("at", "n", "value")).alias("wanted")))
+    texts = sieve.through(keyed, "k_text", sieve.of(lists.select("k_text"))).dropDuplicates(["k_id", "k_text"])
+    windows = texts.join(lists, ["k_id", "k_text"]).mapInArrow(_windows, "k_id long, k_text long, at int, value long, h long")
+    windows = cut(windows)
+    del known, found, mixed, lists, texts
+    release(spark)
+    first = windows.groupBy("value", "h").agg(F.count("*").alias("many"), F.min(F.struct("k_id", "k_text", "at")).alias("first"))
+    again = windows.join(first.where("many > 1").select("value", "h", "first"), ["value", "h"]).where(F.struct("k_id", "k_text", "at") != F.col("first"))
+    within = (F.col("k_id") == F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text"))
+    back = F.when(within, F.col("at") - F.col("first.at")).otherwise(0)
+    runs = runs.union(again.select("k_id", "k_text", F.col("at").alias("a"), F.lit(1).alias("n"), back.alias("back")))
+    return cut(runs.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("a", "n", "back")).cast(RUNS).alias("runs")))
+
+
+def removed_words(runs: pa.StructArray, at: int, starts: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends (exclusive) of what goes of a text whose first word has number ``at`` in its slice. starts: all words' places;
+    edges: all paragraphs'."""
+    a, n, back = (runs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "n", "back"))
+    plain = back == 0
+    first, size = at + a[plain], n[plain]
+    if not plain.all():
+        many = n[~plain]
+        own = at + flat.ragged(np.arange(int((a + n).max())), a[~plain], many)
+        far = np.repeat(back[~plain], many)
+        heads = np.searchsorted(starts, edges)[np.searchsorted(edges, starts[own], "right") - 1]
+        keep = (far >= LENGTH) & (own - far < heads)
+        first, size = np.concatenate([first, own[keep]]), np.concatenate([size, np.ones(int(keep.sum()), np.int64)])
+    return first, first + size - 1 + LENGTH
