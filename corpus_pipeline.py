@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the classifier, the chunker or the packing; the stages are tested against brute force.
+#: SQL can't express the classifier, the chunker or the packing; operators are tested against brute force, stages one by one.
 ORACLE_SQL = None
 
 
