@@ -68,6 +68,13 @@ def decide(df: DataFrame, policies: DataFrame, margin: str, score: str, logits:
     return every.withColumns({"label_out": label, "state": state, "reason": reason, "gate_margin": F.col(margin) - F.col("gate"), "support_margin": F.col(score) - F.col("cutoff")})
 
 
+#: Categories of a decision. Fixed values.
+OUTCOMES = (
+    "genuine_no_attribution", "genuine_false_attribution", "known_correct", "known_wrong", "known_rejected",
+    "withheld_wrong_attribution", "withheld_rejected_real_like", "withheld_rejected_uncertain",
+)
+
+
 def outcome(role: Column, truth: Column, label: Column, state: Column) -> Column:
     """Category of a decision. role: genuine, known or withheld."""
     known = F.when(label == truth, "known_correct").when(label >= 0, "known_wrong").otherwise("known_rejected")
@@ -78,8 +85,7 @@ def outcome(role: Column, truth: Column, label: Column, state: Column) -> Column
 
 def scorecard(df: DataFrame, category: str, by: list[str]) -> DataFrame:
     """Counts by outcome and their ratios, for each group and (by null) overall, in one pass."""
-    names = ["genuine_no_attribution", "genuine_false_attribution", "known_correct", "known_wrong", "known_rejected", "withheld_wrong_attribution", "withheld_rejected_real_like", "withheld_rejected_uncertain"]
-    out = df.rollup(*by).agg(*(F.count_if(F.col(category) == n).alias(n) for n in names))
+    out = df.rollup(*by).agg(*(F.count_if(F.col(category) == n).alias(n) for n in OUTCOMES))
     known = F.col("known_correct") + F.col("known_wrong") + F.col("known_rejected")
     withheld = F.col("withheld_wrong_attribution") + F.col("withheld_rejected_real_like") + F.col("withheld_rejected_uncertain")
     genuine = F.col("genuine_no_attribution") + F.col("genuine_false_attribution")

@@ -101,8 +101,8 @@ def paired_problems(members: DataFrame, group: str, condition: str, reference: s
         ref.alias("ref"), others.alias("others"),
     )
     problem = (
-        F.when(F.col("outside"), "path outside the root").when(F.col("ref").isNull(), "no reference").when(F.col("bad_record"), "invalid duration record")
-        .when(F.col("away"), "duration record mismatch").when(F.col("least") != F.col("most"), "paired sample count mismatch")
+        F.when(F.col("outside"), "path outside the root").when(F.col("ref").isNull(), "no reference").when(F.col("bad_record"), "no usable duration")
+        .when(F.col("away"), "duration unlike the recording").when(F.col("least") != F.col("most"), "members of different lengths")
         .when(F.array_contains("others", F.col("ref")), "a member identical to the reference")
     )
     return out.select(group, problem.alias("problem"))

@@ -53,7 +53,7 @@ def test_paired_recordings(spark):
     rows = group("fine", one, two) + group("same", one, one) + group("short", one, two[:3], 3 / 8) + group("record", one, two, 0.6) + group("nan", one, two, math.nan) + group("out", one, two, path="/root/../etc/x.wav")
     df = spark.createDataFrame(rows, "g string, c string, path string, duration double, samples array<double>")
     out = {r.g: r.problem for r in records.paired_problems(df, "g", "c", "real", 8, "/root").collect()}
-    assert out == {"fine": None, "same": "a member identical to the reference", "short": "paired sample count mismatch", "record": "duration record mismatch", "nan": "invalid duration record", "out": "path outside the root"}
+    assert out == {"fine": None, "same": "a member identical to the reference", "short": "members of different lengths", "record": "duration unlike the recording", "nan": "no usable duration", "out": "path outside the root"}
 
 
 def test_log_without_progress(spark):
