@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents, whatever else they are called. Null and empty texts and null doc_ids pass through
+every filter but the classifier, which scores a text without words like any other; rows that repeat a doc_id are judged by their own texts,
+except that near-dedup keeps or drops all rows of a doc_id together. Ties go to the smaller doc_id. Texts may have any length, tables may be
+empty; without labels of two grades the classifier keeps all.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from assayer.llm.lineage import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier, fitted on labels, keeps."""
+    """Documents that the ordinal classifier, fitted on labels, keeps: those that are more likely good than not."""
     return quality.selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -21,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that with the smallest doc_id."""
     return minhash.deduplicated(docs)
 
 
@@ -31,7 +37,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents, in pieces, and the bins that they fill."""
+    """The token ids of all documents, in pieces, and the bins that they fill; a text without words is a piece without a bin."""
     import public_tokenizers
 
     return packing.packed_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
