@@ -143,6 +143,8 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
 def stripped(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: row (all its columns as a struct), kept (the text left), n_chunks, n_removed_chunks.
 
+    A chunk ends after MOST_LINES lines at the latest, so a long run of one line is cut by number, not by content, and may
+    keep lines that other cuts would have found repeated. Texts may have any length.
     Rows with the same doc_id and text are one document: none of them is a repetition of the other. A null
     doc_id takes no part: its text stays and nothing is removed because of it. Null, empty and one-line texts stay as
     they are. A text of which every chunk is repeated becomes empty. Of equal chunks the one with the smallest
