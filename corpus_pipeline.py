@@ -37,7 +37,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents, in pieces, and the bins that they fill; a text without words is a piece without a bin."""
+    """The token ids of all documents, in pieces, and the bins that they fill; a null or empty text is a piece without a bin."""
     import public_tokenizers
 
     return packing.packed_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
