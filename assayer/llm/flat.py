@@ -6,6 +6,7 @@ own), so memory is bounded by the slice and the longest text, not by the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: The C library's call, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
@@ -76,6 +80,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> It
         total += n
     if len(lengths) > at:
         yield batch.slice(at)
+    give_back()
+
+
+def give_back() -> None:
+    """What the allocators keep after a batch goes back to the system: workers live on, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def edges_of(off: np.ndarray, size: int) -> np.ndarray:
