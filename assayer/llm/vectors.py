@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.llm.flat import give_back
 from assayer.llm.graph import components
 from assayer.llm.lineage import cut, release, tasks
 
@@ -122,6 +123,8 @@ def _local(table: pa.Table) -> pa.Table:
         a.append(who[i])
         b.append(who[j])
         sim.append(sims[i, j])
+    del unit
+    give_back()
     return _edges(a, b, sim)
 
 
