@@ -3,7 +3,7 @@
 A document is encoded once, as a whole, with a byte-level BPE vocabulary, so token byte lengths add up to the
 text and give every token's span of characters. Sections (here the lines' paragraphs, or any given
 spans) get tokens by an interval join of spans. A token that crosses a boundary belongs, whole, to
-the section of its first character; crossings are counted as well.
+the section of its first byte; crossings are counted as well.
 """
 
 from __future__ import annotations
