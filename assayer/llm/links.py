@@ -26,7 +26,8 @@ Verify = Callable[[DataFrame], DataFrame]
 
 
 def link_components(
-    lists: DataFrame, verify: Verify, elements: Callable[[DataFrame], DataFrame], need: Callable | None = None, percent: int = 75
+    lists: DataFrame, verify: Verify, elements: Callable[[DataFrame], DataFrame], need: Callable | None = None, percent: int = 75,
+    met: Callable | None = None,
 ) -> DataFrame:
     """(id, component) for the items that link with a smaller one, directly or through others.
 
@@ -34,13 +35,14 @@ def link_components(
     n_keys distinct keys; items link by any of their sets. Sizes of linked sets differ by at most ``percent``. verify:
     takes (a, b) pairs with a < b and returns the true ones. elements: takes distinct (id, part) and returns (id, part,
     own, hashes), the distinct elements of each whole set. need(n_keys): column, the keys that two linked sets at
-    least share.
+    least share. met(sieve): the rows of lists whose key passes, where the caller has them cheaper than from lists.
     """
     spark = lists.sparkSession
     heads = cut(lists.groupBy("key").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1").select("key", "pivot"))
-    met = sieve.through(lists, "key", sieve.of(heads.select("key")))
-    shared = cut(met.join(heads, "key").select("key", "id", "own", "n_keys", "pivot"))
-    del met, heads
+    bits = sieve.of(heads.select("key"))
+    wanted = met(bits) if met else sieve.through(lists, "key", bits)
+    shared = cut(wanted.join(heads, "key").select("key", "id", "own", "n_keys", "pivot"))
+    del wanted, heads
     release(spark)
 
     first = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()

@@ -116,6 +116,22 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([items.field("id"), hashes], names=["id", "hashes"])
 
 
+def _listed(alike: np.ndarray, met: np.ndarray | None):
+    """A row for each key, of those that pass the sieve ``met``, of the paragraphs whose mark is null or not in ``alike``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~sieve.passes(alike, batch.column("mark"))))
+            keys = batch.column("keys").flatten()
+            ids = pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))
+            if met is not None:
+                keep = pa.array(sieve.passes(met, keys))
+                keys, ids = keys.filter(keep), ids.filter(keep)
+            yield pa.RecordBatch.from_arrays([ids, keys], names=["id", "key"])
+
+    return run
+
+
 def repeated_paragraphs(keyed: DataFrame) -> DataFrame:
     """(k_id, k_text, gone): for each document with repeated paragraphs, the numbers of those that go. keyed: k_id, k_text, text."""
     spark = keyed.sparkSession
@@ -129,16 +145,22 @@ def repeated_paragraphs(keyed: DataFrame) -> DataFrame:
     alike = sieve.through(marked, "mark", bits).join(same, ["mark", "n"], "left")
     copy = F.coalesce(place != F.col("first"), F.lit(False))
     alike = cut(alike.select("k_id", "k_text", "number", "id", "keys", copy.alias("copy")))
-    single = sieve.through(marked, "mark", bits, wanted=False).select("k_id", "k_text", "number", "id", "keys")
-    single = single.union(alike.where("not copy").drop("copy"))
-    lists = single.select("id", F.lit(0).cast("long").alias("own"), F.lit(BANDS).alias("n_keys"), F.explode("keys").alias("key"))
+    first = alike.where("not copy")
+    single = sieve.through(marked.select("k_id", "k_text", "number", "id", "mark"), "mark", bits, wanted=False).drop("mark")
+    single = single.union(first.select("k_id", "k_text", "number", "id"))
+    banded = marked.select("id", "mark", "keys").union(first.select("id", F.lit(None).cast("long"), "keys"))
+
+    def lists(met: np.ndarray | None = None) -> DataFrame:
+        rows = banded.mapInArrow(_listed(bits, met), "id long, key long")
+        return rows.select("id", F.lit(0).cast("long").alias("own"), F.lit(BANDS).alias("n_keys"), "key")
+
     sets: list[DataFrame] = []
 
     def whole(pairs: DataFrame) -> DataFrame:
         """The sets of all paragraphs that can link with any, which are those of the first pairs."""
         if not sets:
             ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            named = cut(single.drop("keys").join(ids, "id"))
+            named = cut(single.join(ids, "id"))
             listed = cut(named.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("number", "id")).alias("wanted")))
             texts = sieve.through(keyed, "k_text", sieve.of(listed.select("k_text")))
             texts = texts.dropDuplicates(["k_id", "k_text"]).join(listed, ["k_id", "k_text"])
@@ -155,7 +177,7 @@ def repeated_paragraphs(keyed: DataFrame) -> DataFrame:
         own = sets[0].join(items, "id")
         return own.select("id", "part", F.lit(0).alias("own"), "hashes")
 
-    near = link_components(lists, verify, elements, None, PERCENT)
+    near = link_components(lists(), verify, elements, None, PERCENT, lists)
     near = cut(near.union(near.select("component", "component")).distinct().join(sets[1], "id"))
     first = near.groupBy("component").agg(F.min(place).alias("first"))
     near = near.join(first, "component").where(place != F.col("first")).select("k_id", "k_text", "number")

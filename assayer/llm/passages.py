@@ -100,16 +100,16 @@ def repeated_passages(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     keyed = keyed.where("k_id is not null and length(text) > 0")
     found = cut(keyed.mapInArrow(_find, f"value long, context long, spots array<{_SPOT}>"))
-    distinct = found.groupBy("value", "context").agg(F.sum(F.size("spots")).alias("many"), F.min(F.array_min("spots")).alias("one"))
-    distinct = cut(distinct)
-    values = distinct.groupBy("value").agg(F.count("*").alias("contexts"), F.sum("many").alias("n")).where("n > 1").select("value", "contexts")
-    values = cut(values)
+    # Most seeds stand once: they go before anything is grouped by context.
+    values = found.groupBy("value").agg(F.sum(F.size("spots")).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+    values = cut(values.where("n > 1").select("value", F.when(F.col("low") < F.col("high"), 2).otherwise(1).alias("contexts")))
     release(spark)
-    known = sieve.through(distinct, "value", sieve.of(values.select("value"))).join(values, "value")
-    known = cut(known.where("many > 1 or contexts > 1").select("value", "context", "many", "contexts", "one"))
-    del distinct, values
+    found = cut(sieve.through(found, "value", sieve.of(values.select("value"))).join(values, "value"))
+    known = found.groupBy("value", "context", "contexts").agg(F.sum(F.size("spots")).alias("many"), F.min(F.array_min("spots")).alias("one"))
+    known = cut(known)
+    del values
 
-    copies = found.join(known.where("many > 1").select("value", "context", "contexts", "one"), ["value", "context"])
+    copies = found.join(known.where("many > 1").select("value", "context", "one"), ["value", "context"])
     copies = copies.select("value", "contexts", "one", F.explode("spots").alias("s")).where("s <> one")
     within = (F.col("s.k_id") == F.col("one.k_id")) & (F.col("s.k_text") == F.col("one.k_text"))
     copies = copies.select("value", "contexts", "s.*", F.when(within, F.col("s.at") - F.col("one.at")).otherwise(0).alias("back"))
