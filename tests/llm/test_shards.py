@@ -20,3 +20,18 @@ def test_shards_are_sorted_in_parts(monkeypatch):
     got = sorted(zip(*(out.column(c).to_pylist() for c in ("k_id", "a", "b"))))
     assert got == [(i, 57, 108) for i in range(800)] + [(i, 7, 58) for i in range(800, 1600)]
     assert sum(sizes) == sum(map(len, own)) and max(sizes) <= suffixes.SORT_BYTES + 1000 < sum(sizes)
+
+
+def test_copied_contexts_are_ranges(spark):
+    """A passage in very many texts leaves each of them a range or two, not a row for each of its contexts."""
+    rng = np.random.default_rng(5)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = word(6000)
+    texts = [word(499 + i) + chr(33 + i) + passage + chr(33 + i) + word(450) for i in range(60)] + [passage, passage, word(3000)]
+    base = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)] + [(61, 61, passage)], "k_id long, k_text long, text string").repartition(3)
+    runs = {r.k_id: sorted((x.a, x.b) for x in r.runs) for r in suffixes.repeated_windows(base).collect()}
+    assert set(runs) == set(range(62)) and max(map(len, runs.values())) <= 3
+    for i, own in runs.items():
+        covered = {w for a, b in own for w in range(a, b)}
+        start = 500 + i if i < 60 else 0
+        assert covered == set(range(start, start + 6000 - 400 + 1))
